@@ -1,3 +1,4 @@
 """Imports every query module, which registers its queries."""
 
 from workload import hits  # noqa: F401
+from workload import requests, verdicts  # noqa: F401

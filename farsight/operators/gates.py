@@ -59,15 +59,19 @@ def stamp_authority(items: DataFrame, rules: DataFrame, url: str, keys: list[str
     equi-join; the longest matching rule wins and no match is Unknown. Only probes that
     meet a rule are shuffled.
     """
-    host = normalize_host(url_host(F.col(url)))
-    path = F.regexp_extract(url_key(F.col(url)), r"^[^/?]+(/[^?]*)", 1)
-    labels = F.split(host, r"\.")
+    hosts = items.select(
+        *keys,
+        F.split(normalize_host(url_host(F.col(url))), r"\.").alias("_labels"),
+        F.regexp_extract(url_key(F.col(url)), r"^[^/?]+(/[^?]*)", 1).alias("_path"),
+    )
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."),
+        F.sequence(F.lit(1), F.size("_labels")),
+        lambda n: F.array_join(F.slice("_labels", n, F.size("_labels")), "."),
     )
-    probes = items.where(host.isNotNull()).select(
-        *keys, path.alias("_path"), F.explode(suffixes).alias("host_suffix")
+    probes = (
+        hosts.where(F.col("_labels").isNotNull())
+        .select(*keys, "_path", suffixes.alias("_suffixes"))
+        .select(*keys, "_path", F.explode("_suffixes").alias("host_suffix"))
     )
     rank = F.create_map(*[F.lit(x) for kv in AUTHORITY_RANK.items() for x in kv])
     rule = rules.withColumnRenamed("path", "_rule_path")

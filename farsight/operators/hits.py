@@ -112,13 +112,18 @@ def apply_domain_rules(pages: DataFrame, rules: DataFrame, page_id: str, url: st
             F.max(F.when(~F.col("blocked") & F.col("sub"), F.col("b"))).alias("b"),
         )
     )
-    key = F.rtrim(url_key(F.col(url)), F.lit("/"))
-    steps = F.split(F.split_part(key, F.lit("?"), F.lit(1)), "/")
+    keyed_pages = pages.select(page_id, F.rtrim(url_key(F.col(url)), F.lit("/")).alias("_key"))
+    steps = F.split(F.split_part("_key", F.lit("?"), F.lit(1)), "/")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/")
+        F.sequence(F.lit(1), F.size("_steps")),
+        lambda n: F.array_join(F.slice("_steps", F.lit(1), n), "/"),
     )
-    probes = pages.where(url_key(F.col(url)).isNotNull()).select(
-        page_id, key.alias("_key"), F.explode(F.array_distinct(F.array_append(prefixes, key))).alias("prefix")
+    # Columns first, explode last: what a select computes beside an explode runs per row.
+    probes = (
+        keyed_pages.where(F.col("_key").isNotNull())
+        .withColumn("_steps", steps)
+        .withColumn("_prefixes", F.array_distinct(F.array_append(prefixes, F.col("_key"))))
+        .select(page_id, "_key", F.explode("_prefixes").alias("prefix"))
     )
     here = F.col("_key") == F.col("prefix")
     any_allow = keyed.agg(F.coalesce(F.bool_or("allow_here"), F.lit(False)).alias("any_allow"))
@@ -133,7 +138,7 @@ def apply_domain_rules(pages: DataFrame, rules: DataFrame, page_id: str, url: st
         )
     )
     return (
-        pages.where(url_key(F.col(url)).isNotNull())
+        pages.where(is_absolute_http(trim_ws(F.col(url))))
         .join(verdicts, page_id, "left")
         .where(~F.coalesce("_blocked", F.lit(False)) & F.coalesce("_allowed", open_list))
         .withColumn("boost", F.coalesce("_boost", F.lit(0)))

@@ -24,7 +24,10 @@ def completed_answers(results: DataFrame, runs: DataFrame) -> DataFrame:
         F.concat_ws(":", "run_id", "group_id").alias("id"),
         F.lit("CompletedAnswer").alias("doc_type"),
         "jurisdiction", "run_id", "group_id", "group_name", "loop_count",
-        F.concat(F.coalesce("start_date", F.lit("")), F.lit(".."), F.coalesce("end_date", F.lit(""))).alias("date_range"),
+        F.concat(
+            F.coalesce(F.col("start_date").cast("string"), F.lit("")), F.lit(".."),
+            F.coalesce(F.col("end_date").cast("string"), F.lit("")),
+        ).alias("date_range"),
         F.lit("Pending").alias("review_status"),
         F.lit(None).cast("int").alias("rating"),
         F.array().cast("array<string>").alias("reason_codes"),

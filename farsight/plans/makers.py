@@ -156,9 +156,11 @@ def phrase_labels(items: DataFrame, keys: list[str], text: str, terms: DataFrame
 
     Rows: keys, name, at. A text is paired only with the terms whose first word it holds.
     """
-    words = tokens(F.col(text))
-    spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    probes = items.select(*keys, spaced.alias("_t"), F.explode(F.array_distinct(words)).alias("_w"))
+    words = items.select(*keys, tokens(F.col(text)).alias("_words"))
+    spaced = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+    probes = words.select(
+        *keys, spaced.alias("_t"), F.array_distinct("_words").alias("_first")
+    ).select(*keys, "_t", F.explode("_first").alias("_w"))
     phrases = terms.select("name", tokens(F.col("name")).alias("_p")).select(
         "name", F.try_element_at("_p", F.lit(1)).alias("_w"),
         F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")).alias("_phrase"),

@@ -2,3 +2,4 @@
 
 from workload import hits  # noqa: F401
 from workload import requests, verdicts  # noqa: F401
+from workload import labels, store  # noqa: F401

@@ -190,8 +190,8 @@ def domain_rules(t):
 def theme_hits(t: Tables) -> DataFrame:
     words = t.pages.select(
         page_run().alias("run_id"), F.col("page_id").cast("int").alias("rank"), "url",
-        F.explode(F.array_distinct(tokens(F.col("html")))).alias("term"),
-    )
+        F.array_distinct(tokens(F.col("html"))).alias("terms"),
+    ).select("run_id", "rank", "url", F.explode("terms").alias("term"))
     return words.join(theme_keywords(t.spark), "term").select(
         "run_id", "group_id", "group_ord", "pass", "rank", "url"
     )

@@ -79,18 +79,23 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     ).write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def latest_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Latest write of every snapshot."""
+    table = spark.read.schema(HISTORY_SNAPSHOTS + ", bucket int").parquet(path)
+    return first_per(table, ["session_id", "checkpoint_id"], F.desc("seq"))
+
+
 def snapshot_index(
     spark: SparkSession, path: str, session_id: str, parent: str | None = None
 ) -> DataFrame:
-    """Snapshots of one session (optionally only a parent's children), latest write per id."""
-    table = spark.read.schema(HISTORY_SNAPSHOTS + ", bucket int").parquet(path)
-    rows = table.where(
+    """Snapshots of one session (optionally only a parent's children); one bucket is read."""
+    rows = latest_snapshots(spark, path).where(
         (F.col("bucket") == session_bucket(F.lit(session_id)))
         & (F.col("session_id") == session_id)
     )
     if parent is not None:
         rows = rows.where(F.col("parent_checkpoint_id") == parent)
-    return first_per(rows.drop("bucket"), ["session_id", "checkpoint_id"], F.desc("seq"))
+    return rows.drop("bucket")
 
 
 def snapshot(spark: SparkSession, path: str, session_id: str, checkpoint_id: str) -> str:

@@ -1,20 +1,23 @@
-"""HTML pages to text and labelled date candidates.
+"""HTML pages to text and labelled dates.
 
-Only tokenising the markup runs in Python (Arrow batches, one pass per page);
-date parsing, label clean-up and text composition are Catalyst expressions.
+Markup is read in Python (Arrow batches, one pass per page); everything after it is
+Catalyst expressions.
 """
 
 from __future__ import annotations
 
 import codecs
+import datetime
+import re
 import sys
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from farsight.functions.dates import iso, leading_date
+from farsight.functions.dates import DATE_FORMS, MONTH_KEYS, TIME
 from farsight.functions.text import collapse_ws, trim_ws
 
 # Elements whose text is never page content.
@@ -28,17 +31,69 @@ VOID = frozenset(
 )
 ROOTS = ("main", "article", "body")
 # Charsets decoded as declared; anything else is read as UTF-8.
-CHARSETS = frozenset(
-    ["ascii", "iso8859-1", "utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-le", "utf-32-be"]
-)
+# The unmarked wide charsets are little-endian.
+CHARSETS = {
+    "ascii": "ascii", "iso8859-1": "iso8859-1", "utf-8": "utf-8",
+    "utf-16": "utf-16-le", "utf-16-le": "utf-16-le", "utf-16-be": "utf-16-be",
+    "utf-32": "utf-32-le", "utf-32-le": "utf-32-le", "utf-32-be": "utf-32-be",
+}
 
-MARK = T.StructType([T.StructField("label", T.StringType()), T.StructField("raw", T.StringType())])
-PAGE = T.StructType([T.StructField("body", T.StringType()), T.StructField("marks", T.ArrayType(MARK))])
+MARK = T.StructType([T.StructField("label", T.StringType()), T.StructField("date", T.StringType())])
+PAGE = T.StructType([T.StructField("body", T.StringType()), T.StructField("dates", T.ArrayType(MARK))])
 
 # Send these functions to executors by value, so that they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+ENTITY = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _character(match: re.Match) -> str:
+    decimal, hexadecimal, name = match.groups()
+    code = name2codepoint.get(name) if name else int(decimal or hexadecimal, 10 if decimal else 16)
+    return chr(code) if code is not None and code < 0x110000 else match.group(0)
+
+
+def unescape(text: str | None) -> str | None:
+    """Decodes closed entities only (``&amp;`` but not ``&amp``), once."""
+    return text if text is None or "&" not in text else ENTITY.sub(_character, text)
+
+
+# The shared date forms, followed by an optional time and the end of a word.
+LEADING = [(re.compile(f"(?i:{form}){TIME}(?=\\s|$)"), groups) for form, groups in DATE_FORMS]
+
+
+def leading_iso(raw: str) -> str | None:
+    """``yyyy-MM-dd`` of the date a text starts with (years 1900-2100), else None."""
+    head = " ".join(raw.split())
+    for regex, groups in LEADING:
+        found = regex.match(head)
+        if found:
+            year, month, day = (found.group(g) for g in groups)
+            number = int(month) if month.isdigit() else MONTH_KEYS.index(month[:3].lower()) + 1
+            try:
+                parsed = datetime.date(int(year), number, int(day))
+            except ValueError:
+                return None
+            return parsed.isoformat() if 1900 <= parsed.year <= 2100 else None
+    return None
+
+
+def clean_label(label: str | None) -> str:
+    return " ".join((unescape(label) or "").split()).rstrip(":").strip()
+
+
+def _dated(marks) -> list[dict]:
+    """Labelled dates of the candidates, distinct ignoring case, in order."""
+    dated = {}
+    for label, raw in marks:
+        iso = leading_iso(unescape(raw)) if raw and raw.strip() else None
+        if iso is not None:
+            name = clean_label(label)
+            dated.setdefault(f"{name}|{iso}".lower(), {"label": name, "date": iso})
+    return list(dated.values())
+
+
 class _Page(HTMLParser):
     """One page: text per candidate root, and date candidates of the whole page."""
 
@@ -115,25 +170,24 @@ class _Page(HTMLParser):
     def result(self):
         chosen = next((self.roots[r] for r in ROOTS if r in self.roots), self.document)
         marks = list(self.metas)
-        for datetime, pieces in self.times:
-            marks.append(("date", datetime if datetime and datetime.strip() else "".join(pieces)))
+        for given, pieces in self.times:
+            marks.append(("date", given if given and given.strip() else "".join(pieces)))
         for term, pieces in self.definitions:
             marks.append(("".join(term) if term is not None else None, "".join(pieces)))
-        return "".join(chosen), [
-            {"label": label, "raw": raw} for label, raw in marks if raw and any(map(str.isdigit, raw))
-        ]
+        return unescape("".join(chosen)), _dated(marks)
 
 
 def _parse(html: str | None):
     page = _Page()
-    page.feed(html or "")
+    # Ampersands are guarded so that the parser hands entities over undecoded.
+    page.feed((html or "").replace("&", "&amp;"))
     page.close()
     return page.result()
 
 
 @F.pandas_udf(PAGE)
 def parse_html(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse(h) for h in html], columns=["body", "marks"])
+    return pd.DataFrame([_parse(h) for h in html], columns=["body", "dates"])
 
 
 def decode_bytes(body: bytes | None, charset: str | None) -> str | None:
@@ -144,7 +198,7 @@ def decode_bytes(body: bytes | None, charset: str | None) -> str | None:
         name = codecs.lookup((charset or "utf-8").strip('" ')).name
     except LookupError:
         name = "utf-8"
-    return bytes(body).decode(name if name in CHARSETS else "utf-8", errors="replace")
+    return bytes(body).decode(CHARSETS.get(name, "utf-8"), errors="replace")
 
 
 @F.pandas_udf(T.StringType())
@@ -169,7 +223,7 @@ def decode_body(body: Column, content_type: Column) -> Column:
     return (
         F.when(wide, _decode(F.when(wide, body), charset))
         .when(latin, F.decode(body, "ISO-8859-1"))
-        .when(ascii_only, F.regexp_replace(F.decode(body, "ISO-8859-1"), r"[^\x00-\x7F]", "�"))
+        .when(ascii_only, F.regexp_replace(F.decode(body, "ISO-8859-1"), r"[^\x00-\x7F]", "?"))
         .otherwise(F.make_valid_utf8(body.cast("string")))
     )
 
@@ -179,24 +233,6 @@ def normalize_label(c: Column) -> Column:
     return F.coalesce(trim_ws(F.rtrim(collapse_ws(c), F.lit(":"))), F.lit(""))
 
 
-def page_dates(marks: Column) -> Column:
-    """Date candidates to ``array<struct<label,date>>``, distinct ignoring case, in order."""
-    dated = F.filter(
-        F.transform(
-            marks,
-            lambda m: F.struct(
-                normalize_label(m["label"]).alias("label"), iso(leading_date(m["raw"])).alias("date")
-            ),
-        ),
-        lambda m: m["date"].isNotNull(),
-    )
-    keys = F.transform(dated, lambda m: F.lower(F.concat_ws("|", m["label"], m["date"])))
-    return F.transform(
-        F.array_distinct(keys),
-        lambda k: F.element_at(dated, F.array_position(keys, k).cast("int")),
-    )
-
-
 def page_text(body: Column, dates: Column) -> Column:
     """Cleaned page text with the block of dates found on the page in front."""
     clean = collapse_ws(body)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from farsight.functions.html import decode_body, page_dates, page_text, parse_html
+from farsight.functions.html import decode_body, page_text, parse_html
 from farsight.functions.text import is_blank, trim_ws
 from farsight.functions.urls import is_absolute_http
 from farsight.operators.ordinals import first_per
@@ -17,8 +17,11 @@ MAX_BYTES = 10 * 1024 * 1024
 def clean_html(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``dates`` (label/date pairs) and ``cleaned_text`` from an HTML text column."""
     parsed = pages.withColumn("_p", parse_html(F.col(html)))
-    dated = parsed.withColumn("dates", page_dates(F.col("_p.marks")))
-    return dated.withColumn("cleaned_text", page_text(F.col("_p.body"), F.col("dates"))).drop("_p")
+    return (
+        parsed.withColumn("cleaned_text", page_text(F.col("_p.body"), F.col("_p.dates")))
+        .withColumn("dates", F.col("_p.dates"))
+        .drop("_p")
+    )
 
 
 def _media_type(content_type):

@@ -62,7 +62,7 @@ def parse_history(snapshots: DataFrame) -> DataFrame:
 
 
 # Partitions of the snapshot table (sessions are too many for one folder each).
-SESSION_BUCKETS = 256
+SESSION_BUCKETS = 64
 
 
 def session_bucket(session_id: Column) -> Column:
@@ -73,16 +73,17 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     """Upserts snapshots by (session, checkpoint) into a table partitioned by session bucket.
 
     Appends only; reads take the latest ``seq`` of an id, so a retried write is harmless.
+    Rebalancing gives few files per bucket and splits a bucket that is large.
     """
-    snapshots.select("session_id", "checkpoint_id", "parent_checkpoint_id", "value_json", "seq").withColumn(
-        "bucket", session_bucket(F.col("session_id"))
-    ).write.mode("append").partitionBy("bucket").parquet(path)
+    columns = ["session_id", "checkpoint_id", "parent_checkpoint_id", "value_json", "seq"]
+    bucketed = snapshots.select(*columns).withColumn("bucket", session_bucket(F.col("session_id")))
+    bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def latest_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Latest write of every snapshot."""
     table = spark.read.schema(HISTORY_SNAPSHOTS + ", bucket int").parquet(path)
-    return first_per(table, ["session_id", "checkpoint_id"], F.desc("seq"))
+    return first_per(table, ["bucket", "session_id", "checkpoint_id"], F.desc("seq"))
 
 
 def snapshot_index(

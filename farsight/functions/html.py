@@ -11,7 +11,6 @@ import datetime
 import re
 import sys
 from html.entities import name2codepoint
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -25,11 +24,12 @@ BOILERPLATE = frozenset(
     "script style noscript template svg canvas iframe nav header footer aside form "
     "button input select figure figcaption".split()
 )
-# Elements without an end tag.
-VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
 ROOTS = ("main", "article", "body")
+# Elements whose nesting matters. Boilerplate without an end tag holds no text.
+TRACKED = (
+    BOILERPLATE.union(ROOTS, "dl dt dd time div section ul ol table html".split())
+    - {"input", "script", "style"}
+)
 # Charsets decoded as declared; anything else is read as UTF-8.
 # The unmarked wide charsets are little-endian.
 CHARSETS = {
@@ -44,14 +44,15 @@ PAGE = T.StructType([T.StructField("body", T.StringType()), T.StructField("dates
 # Send these functions to executors by value, so that they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
 ENTITY = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));")
 
 
 def _character(match: re.Match) -> str:
     decimal, hexadecimal, name = match.groups()
     code = name2codepoint.get(name) if name else int(decimal or hexadecimal, 10 if decimal else 16)
-    return chr(code) if code is not None and code < 0x110000 else match.group(0)
+    if code is None or code >= 0x110000:
+        return match.group(0)
+    return "\ufffd" if 0xD800 <= code <= 0xDFFF else chr(code)
 
 
 def unescape(text: str | None) -> str | None:
@@ -94,100 +95,101 @@ def _dated(marks) -> list[dict]:
     return list(dated.values())
 
 
-class _Page(HTMLParser):
-    """One page: text per candidate root, and date candidates of the whole page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.hidden = 0
-        self.document: list[str] = []
-        self.roots: dict[str, list[str]] = {}
-        self.root_depth: dict[str, int] = {}
-        self.metas: list[tuple] = []
-        self.times: list[list] = []
-        self.definitions: list[list] = []
-        self.terms: dict[int, list[str]] = {}
-        self.captures: list[tuple[int, list[str]]] = []
-
-    def _capture(self) -> list[str]:
-        pieces: list[str] = []
-        self.captures.append((len(self.open), pieces))
-        return pieces
-
-    def handle_starttag(self, tag, attrs):
-        attributes = dict(reversed(attrs))
-        if tag == "meta":
-            label = attributes.get("name")
-            self.metas.append(
-                (label if label is not None else attributes.get("property"), attributes.get("content"))
-            )
-        if tag in VOID:
-            return
-        depth = len(self.open)
-        self.open.append(tag)
-        self.terms.pop(depth + 1, None)
+_ATTRS = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)"""
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>script|style)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})>"
+    r"|<[!?][^>]*>",
+    re.IGNORECASE | re.DOTALL,
+)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), double or single or bare)
+    return found
+
+
+def read_page(html: str) -> tuple[str, list[dict]]:
+    """(text of the page's content root, labelled dates of the whole page)."""
+    visible: list[str] = []  # text outside boilerplate
+    everything: list[str] = []
+    roots: dict[str, tuple[int, int | None]] = {}
+    metas: list[tuple] = []
+    times: list[list] = []
+    definitions: list[list] = []
+    terms: dict[int, str | None] = {}  # depth -> text of the last dt there
+    stack: list[tuple] = []  # (tag, where its text starts, slot to fill on closing)
+    hidden = last = 0
+
+    def close() -> None:
+        nonlocal hidden
+        tag, start, slot = stack.pop()
         if tag in BOILERPLATE:
-            self.hidden += 1
-        elif tag in ROOTS and not self.hidden and tag not in self.roots:
-            self.roots[tag], self.root_depth[tag] = [], depth
-        if tag == "time":
-            self.times.append([attributes.get("datetime"), self._capture()])
+            hidden -= 1
+        elif tag in ROOTS:
+            if slot:
+                roots[tag] = (start, len(visible))
         elif tag == "dt":
-            self.terms[depth] = self._capture()
+            terms[len(stack)] = "".join(everything[start:])
+        elif slot is not None and slot[1] is None:
+            slot[1] = "".join(everything[start:])
+
+    for token in TOKEN.finditer(html):
+        if token.start() > last:
+            data = html[last : token.start()]
+            everything.append(data)
+            if not hidden:
+                visible.append(data)
+        last = token.end()
+        if token["tag"] is None:
+            continue
+        tag = token["tag"].lower()
+        if tag == "meta" and not token["close"]:
+            given = _attributes(token["attrs"])
+            metas.append((given.get("name", given.get("property")), given.get("content")))
+        if tag not in TRACKED:
+            continue
+        if token["close"]:
+            if any(entry[0] == tag for entry in stack):
+                while stack[-1][0] != tag:
+                    close()
+                close()
+            continue
+        if token["attrs"].endswith("/"):
+            continue
+        depth, start, slot = len(stack), len(everything), None
+        terms[depth + 1] = None
+        if tag in BOILERPLATE:
+            hidden += 1
+        elif tag in ROOTS:
+            start = len(visible)
+            if not hidden and tag not in roots:
+                roots[tag], slot = (start, None), True
+        elif tag == "time":
+            given = (_attributes(token["attrs"]).get("datetime") or "").strip()
+            slot = ["date", given or None]
+            times.append(slot)
         elif tag == "dd":
-            self.definitions.append([self.terms.get(depth), self._capture()])
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if tag not in self.open:
-            return
-        while True:
-            closed = self.open.pop()
-            depth = len(self.open)
-            if closed in BOILERPLATE:
-                self.hidden -= 1
-            if self.root_depth.get(closed) == depth:
-                self.root_depth[closed] = -1
-            self.captures = [c for c in self.captures if c[0] <= depth]
-            if closed == tag:
-                return
-
-    def handle_data(self, data):
-        for _, pieces in self.captures:
-            pieces.append(data)
-        if self.hidden:
-            return
-        self.document.append(data)
-        for root, depth in self.root_depth.items():
-            if depth >= 0:
-                self.roots[root].append(data)
-
-    def result(self):
-        chosen = next((self.roots[r] for r in ROOTS if r in self.roots), self.document)
-        marks = list(self.metas)
-        for given, pieces in self.times:
-            marks.append(("date", given if given and given.strip() else "".join(pieces)))
-        for term, pieces in self.definitions:
-            marks.append(("".join(term) if term is not None else None, "".join(pieces)))
-        return unescape("".join(chosen)), _dated(marks)
-
-
-def _parse(html: str | None):
-    page = _Page()
-    # Ampersands are guarded so that the parser hands entities over undecoded.
-    page.feed((html or "").replace("&", "&amp;"))
-    page.close()
-    return page.result()
+            slot = [terms.get(depth), None]
+            definitions.append(slot)
+        stack.append((tag, start, slot))
+    if last < len(html):
+        everything.append(html[last:])
+        if not hidden:
+            visible.append(html[last:])
+    while stack:
+        close()
+    start, end = next((roots[r] for r in ROOTS if r in roots), (0, len(visible)))
+    return unescape("".join(visible[start:end])), _dated(metas + times + definitions)
 
 
 @F.pandas_udf(PAGE)
 def parse_html(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse(h) for h in html], columns=["body", "dates"])
+    return pd.DataFrame([read_page(h or "") for h in html], columns=["body", "dates"])
 
 
 def decode_bytes(body: bytes | None, charset: str | None) -> str | None:

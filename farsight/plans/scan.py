@@ -244,7 +244,12 @@ def finalize(
     """
     spark = scan.items.sparkSession
     keys = [*GROUP, "id"]
-    carried = scan.items.where(F.col("route") == "vetted")
+    # A group that faulted on any pass is a Failed result without items.
+    faulted = scan.passes.where(F.col("error").isNotNull()).select(
+        *GROUP, F.lit(True).alias("faulted")
+    ).distinct()
+    items = scan.items.join(faulted, GROUP, "left_anti")
+    carried = items.where(F.col("route") == "vetted")
     texts = (
         spark.read.schema("url string, cleaned_text string, pass int")
         .parquet(f"{scan.root}/texts")
@@ -271,11 +276,8 @@ def finalize(
     base = R.base_records(labelled.drop("level_of_authority"))
     records = R.overlay(base, record_maker(base) if record_maker else None, keys)
 
-    faulted = scan.passes.groupBy(*GROUP).agg(F.bool_or(F.col("error").isNotNull()).alias("faulted"))
-    results = group_status(
-        scan.groups.select("run_id", "group_ord", "group_id", "group_name").join(faulted, GROUP, "left"),
-        scan.passes, scan.items,
-    )
+    groups = scan.groups.select("run_id", "group_ord", "group_id", "group_name")
+    results = group_status(groups.join(faulted, GROUP, "left"), scan.passes, items)
     return results.drop("faulted"), records
 
 

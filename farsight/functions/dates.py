@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from farsight.functions.text import trim_ws
+from farsight.functions.text import once, trim_ws
 
 # Invariant-culture month names.
 MONTHS = (
@@ -51,7 +51,7 @@ def _parse(c: Column, tail: str) -> Column:
 
 def lenient_date(c: Column) -> Column:
     """Date from one of the known forms; null for blank, partial or other text."""
-    return _parse(trim_ws(c), "$")
+    return once(trim_ws(c), lambda t: _parse(t, "$"))
 
 
 def strict_iso_date(c: Column) -> Column:
@@ -65,9 +65,9 @@ def strict_iso_date(c: Column) -> Column:
 
 def leading_date(c: Column) -> Column:
     """Date at the start of a text whose tail may be anything; years 1900-2100 only."""
-    head = F.substring(F.regexp_replace(F.ltrim(c), r"[\s\x{85}\p{Z}]+", " "), 1, 80)
-    parsed = _parse(trim_ws(head), rf"{TIME}(?=\s|$)")
-    return F.when(F.year(parsed).between(1900, 2100), parsed)
+    head = trim_ws(F.substring(F.regexp_replace(trim_ws(c), r"[\s\x{85}\p{Z}]+", " "), 1, 80))
+    parsed = once(head, lambda t: _parse(t, rf"{TIME}(?=\s|$)"))
+    return once(parsed, lambda d: F.when(F.year(d).between(1900, 2100), d))
 
 
 def window_end(end_date: Column, started_at: Column) -> Column:

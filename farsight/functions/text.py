@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: every character counted as white space when trimming.
@@ -21,6 +23,11 @@ TRUNCATED = "\n[...truncated...]"
 NO_TEXT = "(no text available)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trim_ws(c: Column) -> Column:
     """Trims all white space, not only blanks."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -46,11 +53,14 @@ def collapse_ws(c: Column) -> Column:
 
 def distinct_ignore_case(items: Column) -> Column:
     """Distinct array elements ignoring case; first spelling wins, order kept."""
-    folded = F.transform(items, F.lower)
-    return F.transform(
-        F.array_distinct(folded),
-        lambda k: F.element_at(items, F.array_position(folded, k).cast("int")),
-    )
+
+    def firsts(values: Column, folded: Column) -> Column:
+        return F.transform(
+            F.array_distinct(folded),
+            lambda k: F.element_at(values, F.array_position(folded, k).cast("int")),
+        )
+
+    return once(items, lambda values: once(F.transform(values, F.lower), lambda f: firsts(values, f)))
 
 
 def split_list(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from farsight.functions.text import fold, trim_ws
+from farsight.functions.text import fold, once, trim_ws
 
 # scheme, userinfo, host, port, path, query of an absolute http(s) URL
 ABSOLUTE_HTTP = (
@@ -14,7 +14,7 @@ ABSOLUTE_HTTP = (
 # Tracking parameters that never select other content.
 TRACKING = r"^(?i:utm_[^=]*|gclid|fbclid|msclkid|mc_eid|_ga)(?:=|$)"
 # Characters of a path or query that are percent-encoded in an absolute URL.
-ESCAPED = r"[^\x21\x23-\x3B\x3D\x3F-\x5B\x5D\x5F\x61-\x7A\x7E]"
+ESCAPED = r"[\x00-\x20\"<>\\^`{|}\x7F-\x{10FFFF}]"
 
 
 def is_absolute_http(url: Column) -> Column:
@@ -54,7 +54,14 @@ def _without_dot_segments(path: Column) -> Column:
         .when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.array_append(acc, seg)),
     )
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(folded, "/")).otherwise(path)
+    return F.when(path.contains("/."), F.array_join(folded, "/")).otherwise(path)
+
+
+def canonical_path(path: Column) -> Column:
+    """Dot segments folded, characters escaped, trailing slashes dropped; '' becomes '/'."""
+    escaped = once(once(path, _without_dot_segments), _escape)
+    trimmed = F.rtrim(escaped, F.lit("/"))
+    return once(trimmed, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
 def canonical_query(query: Column) -> Column:
@@ -64,11 +71,14 @@ def canonical_query(query: Column) -> Column:
     """
     kept = F.array_sort(
         F.filter(
-            F.split(F.ltrim(query, F.lit("?")), "&"),
+            F.split(F.ltrim(once(query, _escape), F.lit("?")), "&"),
             lambda p: (p != "") & ~p.rlike(TRACKING),
         )
     )
-    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    joined = once(
+        kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise("")
+    )
+    return F.when(query == "", F.lit("")).otherwise(joined)
 
 
 def url_key(url: Column) -> Column:
@@ -77,14 +87,26 @@ def url_key(url: Column) -> Column:
     Scheme, port, user info, fragment, trailing slashes and tracking
     parameters do not count; host ``www.`` and letter case do not either.
     """
-    t = trim_ws(url)
-    host = normalize_host(F.regexp_extract(t, ABSOLUTE_HTTP, 1))
-    path = F.rtrim(
-        _escape(_without_dot_segments(F.regexp_extract(t, ABSOLUTE_HTTP, 2))), F.lit("/")
-    )
-    query = canonical_query(_escape(F.regexp_extract(t, ABSOLUTE_HTTP, 3)))
-    key = F.lower(F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
-    return F.when(is_absolute_http(t) & (host != ""), key)
+
+    def from_pieces(pieces: Column) -> Column:
+        # '#host#path#query'; none of the three can hold a '#'. A URL that is not
+        # absolute http(s) was left as it was.
+        key = F.concat(
+            normalize_host(pieces[1]),
+            once(pieces[2], canonical_path),
+            once(pieces[3], canonical_query),
+        )
+        return F.when((F.size(pieces) == 4) & (pieces[0] == ""), F.lower(key))
+
+    def split_up(t: Column) -> Column:
+        return F.when(
+            ~t.startswith("#"), F.split(F.regexp_replace(t, ABSOLUTE_HTTP, "#$1#$2#$3"), "#")
+        )
+
+    def with_host(key: Column) -> Column:
+        return F.when(~key.startswith("/"), key)
+
+    return once(once(once(trim_ws(url), split_up), from_pieces), with_host)
 
 
 def stable_id(url: Column) -> Column:

@@ -50,3 +50,13 @@ def staged(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan over at least as many tasks as there are cores.
+
+    For work that is heavy per row (parsing, tokenising) on tables of a few unsplittable
+    files; a scan that already has enough tasks is returned as it is, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -188,7 +188,7 @@ def domain_rules(t):
 
 
 def theme_hits(t: Tables) -> DataFrame:
-    words = t.pages.select(
+    words = t.spread("pages", "page_id", "url", "html").select(
         page_run().alias("run_id"), F.col("page_id").cast("int").alias("rank"), "url",
         F.array_distinct(tokens(F.col("html"))).alias("terms"),
     ).select("run_id", "rank", "url", F.explode("terms").alias("term"))
@@ -294,7 +294,7 @@ SQL_QUERY_TERMS = "(SELECT DISTINCT group_id, term FROM " + SQL_THEMES + ")"
   SELECT group_id, doc_id, matched_terms, matches, rank FROM r WHERE rank <= 10""",
 )
 def corpus_search(t):
-    return search(t.documents, "doc_id", "text", theme_queries(t), ["group_id"]).drop("boost")
+    return search(t.spread("documents", "doc_id", "text"), "doc_id", "text", theme_queries(t), ["group_id"]).drop("boost")
 
 
 @query(
@@ -316,7 +316,7 @@ def corpus_search(t):
 )
 def boosted_search(t):
     """Search over the pages the domain rules let through, boosted pages first."""
-    ruled = X.apply_domain_rules(t.pages, page_rules(t), "page_id")
+    ruled = X.apply_domain_rules(t.spread("pages", "page_id", "url", "html"), page_rules(t), "page_id")
     boost = ruled.select(F.col("page_id").alias("doc_id"), "boost")
     return search(ruled, "page_id", "html", theme_queries(t), ["group_id"], boost=boost)
 

@@ -135,7 +135,7 @@ def phrase_label(t):
     """First sentences of the benchmark passages as phrases, found in whole documents."""
     sentence = F.substring_index("text", ".", 1)
     terms_ = t.benchmark.select(sentence.alias("name"), "item_id")
-    found = phrase_labels(t.documents, ["doc_id"], "text", terms_.select("name").distinct())
+    found = phrase_labels(t.spread("documents", "doc_id", "text"), ["doc_id"], "text", terms_.select("name").distinct())
     return found.join(terms_, "name").select("doc_id", "item_id", "at")
 
 

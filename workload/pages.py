@@ -20,7 +20,7 @@ SQL_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replac
 
 @query("html_text", f"SELECT page_id, {SQL_TEXT} AS cleaned_text FROM pages")
 def html_text(t):
-    return clean_html(t.pages.select("page_id", "html")).select("page_id", "cleaned_text")
+    return clean_html(t.spread("pages", "page_id", "html")).select("page_id", "cleaned_text")
 
 
 def dated_pages(t: Tables) -> DataFrame:
@@ -37,7 +37,7 @@ def dated_pages(t: Tables) -> DataFrame:
         F.lit('">soon</time><main><p>Order &pound;'), F.col("o_orderkey").cast("string"), F.lit("</p>\n <form>x</form><p>of "),
         F.col("o_orderstatus"), F.lit("</p></main></body></html>"),
     )
-    return t.orders.select("o_orderkey", html.alias("html"))
+    return t.spread("orders", "o_orderkey", "o_orderdate", "o_orderstatus").select("o_orderkey", html.alias("html"))
 
 
 @query(
@@ -138,7 +138,7 @@ def full_scan(t):
     tests against a brute-force run on a small fixture.
     """
     root = stage_dir(t.spark, "scan")
-    corpus = staged(page_corpus(t.pages), f"{root}/corpus")
+    corpus = staged(page_corpus(t.spread("pages", "url", "html")), f"{root}/corpus")
     requests = scan_requests(t)
     scan = run_scan(requests, corpus, root, scorer=heuristic_scorer([".com", ".net"]))
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()

@@ -386,7 +386,7 @@ def predicted(t: Tables) -> DataFrame:
     verdict = heuristic_verdict(
         F.col("source"), F.col("text"), F.array(*[F.lit(x) for x in TERMS]), ["src1", "src2"]
     )
-    return t.documents.select("doc_id", "source", "lang", verdict.alias("predicted"))
+    return t.spread("documents", "doc_id", "source", "lang", "text").select("doc_id", "source", "lang", verdict.alias("predicted"))
 
 
 SQL_PREDICTED = """

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from farsight.functions.text import is_blank
 from farsight.functions.urls import normalize_host, url_host, url_key
 from farsight.operators.ordinals import first_per
+from farsight.session import local_table
 
 # Authority of source domains (with an optional path) and their order.
 AUTHORITY_RULES = [
@@ -49,7 +50,7 @@ def unstored(items: DataFrame, stored: DataFrame, url: Column) -> DataFrame:
 
 
 def authority_rules(spark, rules=AUTHORITY_RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host_suffix string, path string, authority string")
+    return local_table(spark, rules, "host_suffix string, path string, authority string")
 
 
 def stamp_authority(items: DataFrame, rules: DataFrame, url: str, keys: list[str]) -> DataFrame:

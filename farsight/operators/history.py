@@ -150,8 +150,8 @@ def restore_items(histories: DataFrame) -> DataFrame:
 
 def next_passes(groups: DataFrame, passes: DataFrame) -> DataFrame:
     """Unfinished groups with the pass to run next (resume from the last saved pass)."""
-    last = current_pass(passes).select(
-        *GROUP, F.col("pass").alias("_last"), F.col("final_decision").alias("_decision")
+    last = passes.groupBy(*GROUP).agg(
+        F.max("pass").alias("_last"), F.max_by("final_decision", "pass").alias("_decision")
     )
     return (
         groups.join(last, GROUP, "left")

@@ -129,11 +129,14 @@ def run_scan(
             .where(F.col("next_pass") == number)
             .withColumnRenamed("next_pass", "pass")
         )
-        if active.isEmpty():
+        # Written so that the search sees a table of known, small size: its terms are then
+        # broadcast and the corpus is not shuffled.
+        queries = _stage(spark, query_maker(active), root, "queries", number)
+        if queries.isEmpty():
             break
         _one_pass(
-            spark, root, number, active, corpus, scorer, decisions, query_maker, search,
-            search_failures, allowlist,
+            spark, root, number, queries, corpus, scorer, decisions, search, search_failures,
+            allowlist,
         )
     return load_scan(spark, root)
 
@@ -166,10 +169,8 @@ def _stage(spark: SparkSession, df: DataFrame, root: str, name: str, number: int
 
 
 def _one_pass(
-    spark, root, number, active, corpus, scorer, decisions, query_maker, search, search_failures,
-    allowlist,
+    spark, root, number, queries, corpus, scorer, decisions, search, search_failures, allowlist
 ) -> None:
-    queries = query_maker(active)
     # The search is the only step that reads the corpus as a whole; its few ranked hits
     # are written so that nothing below runs it again.
     raw = _stage(spark, search(queries), root, "raw_hits", number)
@@ -191,7 +192,7 @@ def _one_pass(
     hits = kept.drop("title").join(texts.select("url", "title"), "url", "left")
     _write(hits.select(*_names(HITS)), root, "hits", number)
 
-    context = active.select(*GROUP, "group_name", "keywords", "jurisdiction")
+    context = queries.select(*GROUP, "group_name", "keywords", "jurisdiction")
     has_text = ~is_blank(F.col("cleaned_text"))
     docs = hits.drop("title").join(texts, "url", "left").withColumn("unverified", ~has_text)
     scored = _stage(spark, scorer(docs.join(context, GROUP)), root, "scored", number)
@@ -201,7 +202,7 @@ def _one_pass(
     verdicts = scored.where(F.col("error").isNull())
 
     filled = V.fill_verdicts(docs.drop("cleaned_text"), verdicts)
-    window = active.select("run_id", "start_date", "end_date", "started_at").distinct()
+    window = queries.select("run_id", "start_date", "end_date", "started_at").distinct()
     items = V.result_items(V.route_items(filled, window)).withColumn(
         "full_text_ref",
         F.when(~F.col("unverified") & (F.col("route") == "vetted"), full_text_ref()),

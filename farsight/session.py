@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Runtime SQL settings the operators rely on. UTC keeps instant -> date
 # conversions stable; AQE sizes shuffles, turns small sides into broadcasts by
@@ -52,6 +55,20 @@ def staged(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few literal rows as a local relation, whose size the optimizer knows.
+
+    (Rows given as Python tuples become an RDD of unknown size, which is never broadcast.)
+    """
+    struct = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
+    arrays = [
+        pa.array(values, type=to_arrow_type(field.dataType))
+        for values, field in zip(columns, struct.fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=struct.names), struct)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan over at least as many tasks as there are cores.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from farsight.functions.text import fold, is_blank, trim_ws
 from farsight.operators.ordinals import first_per
 from farsight.schemas import VOCABULARY
+from farsight.session import local_table
 
 IMPACT_AREA_TYPE, TAG_TYPE = "ImpactAreas", "tags"
 
@@ -45,7 +46,7 @@ def vocabulary_rows(names: DataFrame, doc_type: str) -> DataFrame:
 
 def builtin_vocabulary(spark: SparkSession) -> DataFrame:
     rows = [(n, IMPACT_AREA_TYPE) for n in IMPACT_AREAS] + [(n, TAG_TYPE) for n in TAGS]
-    names = spark.createDataFrame(rows, "name string, t string")
+    names = local_table(spark, rows, "name string, t string")
     return vocabulary_rows(names.where(F.col("t") == IMPACT_AREA_TYPE), IMPACT_AREA_TYPE).unionByName(
         vocabulary_rows(names.where(F.col("t") == TAG_TYPE), TAG_TYPE)
     )

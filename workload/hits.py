@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farsight.functions.urls import is_absolute_http, normalize_host, stable_id, url_host, url_key
 from farsight.operators import hits as X
+from farsight.session import local_table
 from farsight.sources.citations import citations, parse_answers
 from farsight.sources.corpus import search, tokens
 from workload.registry import (
@@ -279,7 +280,7 @@ def seen_key_union(t):
 
 def theme_queries(t: Tables) -> DataFrame:
     rows = [(g, " ".join(ks)) for g, _, ks in THEMES]
-    return t.spark.createDataFrame(rows, "group_id string, query string")
+    return local_table(t.spark, rows, "group_id string, query string")
 
 
 SQL_QUERY_TERMS = "(SELECT DISTINCT group_id, term FROM " + SQL_THEMES + ")"

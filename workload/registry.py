@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farsight.session import spread, tune
+from farsight.session import local_table, spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +104,7 @@ THEMES = [
 def theme_keywords(spark: SparkSession) -> DataFrame:
     """(group_id, group_ord, pass, term): pass p of a group looks for its keyword p."""
     rows = [(g, o, p, t) for g, o, ks in THEMES for p, t in enumerate(ks, 1)]
-    return spark.createDataFrame(rows, "group_id string, group_ord int, pass int, term string")
+    return local_table(spark, rows, "group_id string, group_ord int, pass int, term string")
 
 
 SQL_THEMES = (

@@ -191,25 +191,20 @@ def prior_attempt_lines(reviews: DataFrame, passes: DataFrame) -> DataFrame:
     )
 
 
-def _with_empty(parts: DataFrame, heads: DataFrame, section: int, title, empty: str) -> DataFrame:
-    """A section's parts behind its title line; passes without rows get the ``empty`` line."""
-    counts = parts.groupBy(*PASS).agg(F.sum("n").alias("_n"))
+def _section(
+    heads: DataFrame, lines: DataFrame, parts: DataFrame, number: int, title, empty: str
+) -> DataFrame:
+    """A section's parts behind its title line (part -1) with the number of lines.
+
+    Passes without lines get the ``empty`` line. The count reads no line text.
+    """
+    counts = lines.groupBy(*PASS).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0)).cast("string")
     titled = heads.join(counts, PASS, "left").select(
         *PASS, F.lit(-1).alias("part"),
-        F.when(
-            F.col("_n").isNull(), _lines(F.lit(""), title(F.lit(0)), F.lit(empty))
-        ).otherwise(_lines(F.lit(""), title(F.col("_n")))).alias("text"),
+        _lines(F.lit(""), title(n), F.when(F.col("_n").isNull(), F.lit(empty))).alias("text"),
     )
-    return titled.unionByName(parts.drop("n")).withColumn("section", F.lit(section))
-
-
-def _parts_with_count(lines: DataFrame, order: str, rows: int = PART_ROWS) -> DataFrame:
-    numbered = ordinal(lines, PASS, order, "_o", start=0)
-    parts = text_parts(numbered, PASS, "_o", "line", rows)
-    counts = numbered.groupBy(*PASS, F.floor(F.col("_o") / rows).cast("int").alias("part")).agg(
-        F.count("*").alias("n")
-    )
-    return parts.join(counts, [*PASS, "part"])
+    return titled.unionByName(parts).withColumn("section", F.lit(number))
 
 
 def eval_input(
@@ -239,10 +234,11 @@ def eval_input(
     earlier = prior_vetted_lines(vetted, heads).withColumn(
         "_order", F.col("found_on_pass").cast("long") * F.lit(2**31) + F.col("doc_index")
     )
-    vetted_section = _with_empty(
-        _parts_with_count(earlier, "_order"), heads, 1,
+    vetted_section = _section(
+        heads, earlier,
+        text_parts(ordinal(earlier, PASS, "_order", "_o", start=0), PASS, "_o", "line"), 1,
         lambda n: F.concat(
-            F.lit("Previously vetted results carried from earlier passes ("), n.cast("string"),
+            F.lit("Previously vetted results carried from earlier passes ("), n,
             F.lit(
                 ") - context only, already counted toward coverage; "
                 "do NOT re-evaluate or assign these a verdict:"
@@ -251,10 +247,12 @@ def eval_input(
         NO_VETTED,
     )
     attempts = prior_attempt_lines(reviews, heads)
-    attempt_section = _with_empty(
-        _parts_with_count(attempts, "attempt"), heads, 2,
-        lambda n: F.concat(F.lit("Previous search attempts ("), n.cast("string"), F.lit("):")),
-        NO_ATTEMPTS,
+    attempt_parts = text_parts(
+        attempts.withColumn("_o", F.col("attempt") - 1), PASS, "_o", "line"
+    )
+    attempt_section = _section(
+        heads, attempts, attempt_parts, 2,
+        lambda n: F.concat(F.lit("Previous search attempts ("), n, F.lit("):")), NO_ATTEMPTS,
     )
     doc_counts = docs.groupBy(*PASS).agg(F.count("*").alias("_n"))
     doc_title = heads.join(doc_counts, PASS).select(

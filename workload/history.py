@@ -18,11 +18,16 @@ from workload.registry import Tables, query
 # assistant turn is a reviewed pass, a system turn a failed search.
 
 
+def run():
+    """Every conversation is a run of its own."""
+    return F.concat(F.lit("run "), F.col("conv_id").cast("string")).alias("run_id")
+
+
 def turns(t: Tables) -> DataFrame:
     role = F.col("role")
     reviewed = role == "assistant"
     return t.conversations.select(
-        F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("pass"),
+        run(), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("pass"),
         F.col("text").alias("query"), F.lit(None).cast("string").alias("query_rationale"),
         (role == "system").alias("search_failed"), F.when(role == "system", "timeout").alias("search_failure_reason"),
         F.when(reviewed, F.concat(F.lit("note "), F.col("turn").cast("string"))).alias("thought_process"),
@@ -41,7 +46,7 @@ def sentences(t: Tables) -> DataFrame:
 
 def turn_hits(t: Tables) -> DataFrame:
     return sentences(t).select(
-        F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("pass"),
+        run(), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("pass"),
         (F.col("pos") + 1).alias("rank"), F.concat(F.lit("https://example.org/"), F.sha2("s", 256)).alias("url"),
         F.lit(None).cast("string").alias("title"), F.lit("example.org").alias("domain"), F.col("role").alias("source_query"),
     )
@@ -51,7 +56,7 @@ def turn_items(t: Tables) -> DataFrame:
     """Sentences of assistant turns as items; short ones are discarded."""
     none = F.lit(None).cast("date")
     return sentences(t).where(F.col("role") == "assistant").select(
-        F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("found_on_pass"),
+        run(), F.col("conv_id").cast("string").alias("group_id"), (F.col("turn") + 1).cast("int").alias("found_on_pass"),
         F.col("pos").alias("doc_index"), F.substring(F.sha2("s", 256), 1, 16).alias("id"),
         F.array(F.concat(F.lit("https://example.org/"), F.sha2("s", 256))).alias("source_urls"), F.lit("example.org").alias("domain"),
         F.lit(None).cast("string").alias("full_text_ref"), F.when(F.length("s") > 40, W.RELEVANT).otherwise(W.NOT_RELEVANT).alias("verdict"),
@@ -166,7 +171,7 @@ MAX_LOOPS = 6
 
 def turn_groups(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")).select(
-        F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("group_id"),
+        run(), F.col("conv_id").cast("string").alias("group_id"),
         F.col("conv_id").cast("int").alias("group_ord"), F.lit(MAX_LOOPS).alias("max_loops"),
         F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("group_name"),
     )
@@ -297,7 +302,7 @@ def result_assembly(t):
         "level_of_authority": F.lit(""), "status_of_change": F.lit(""), "announcement_date": F.lit(""),
         "effective_date_of_change": F.lit(""), "supporting_reference": F.lit(""), "regulator": F.lit(""),
     })
-    requests = t.region.select(F.lit("run").alias("run_id"), F.lit("2026-01-01").cast("timestamp").alias("started_at")).distinct()
+    requests = t.conversations.select(run()).distinct().withColumn("started_at", F.lit("2026-01-01").cast("timestamp"))
     nested = scan_results(results, records, requests)
     titles = F.array_join(F.transform("items", lambda i: i["title_of_update"]), "|")
     return nested.select(

@@ -11,6 +11,7 @@ from farsight.functions.text import (
 from farsight.operators import inputs as I
 from farsight.operators import labels as L
 from farsight.operators.ordinals import PART_ROWS
+from farsight.session import stage_dir, staged
 from farsight.sources.vocabulary import vocabulary_terms
 from workload.labels import SQL_PRIORS, SQL_VOCABULARY, customer_priors, part_vocabulary
 from workload.registry import Tables, query
@@ -82,7 +83,8 @@ def context_block(t):
   SELECT group_id, CAST(doc_index // {PART_ROWS} AS INTEGER) AS part, string_agg(block, chr(10) ORDER BY doc_index) AS text FROM b GROUP BY 1, 2""",
 )
 def group_context_blocks(t):
-    return I.group_blocks(items(t), ["group_id"], "doc_index")
+    rows = staged(items(t), stage_dir(t.spark, "items"))
+    return I.group_blocks(rows, ["group_id"], "doc_index")
 
 
 # --- passes: a document's pass is its position in the source, one of three -----------------
@@ -153,12 +155,12 @@ def prior_context(t):
     UNION ALL SELECT * FROM ap UNION ALL SELECT * FROM dt UNION ALL SELECT * FROM dp)""",
 )
 def eval_input(t):
-    rows = pass_items(t)
+    rows = staged(pass_items(t), stage_dir(t.spark, "items"))
     docs = rows.select(
         "run_id", "group_id", F.col("found_on_pass").alias("pass"), "doc_index", F.col("source_urls")[0].alias("url"),
         "domain", F.col("full_text").isNull().alias("unverified"), F.col("full_text").alias("cleaned_text"),
     )
-    passes = source_passes(t)
+    passes = staged(source_passes(t), stage_dir(t.spark, "passes"))
     reviews = passes.select(*I.PASS, "query", "thought_process", "final_decision")
     return I.eval_input(passes, docs, rows.where(F.col("verdict") != W.NOT_RELEVANT), reviews).drop("run_id")
 

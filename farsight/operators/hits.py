@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from farsight.functions.text import is_blank, trim_ws
 from farsight.functions.urls import (
@@ -242,27 +242,37 @@ def prefilter_counts(
 ) -> DataFrame:
     """Per (run, group, pass): hits in, kept, invalid, in-group and cross-group repeats.
 
-    Repeats are differences of counts, so no row is ever labelled: each count is a
-    pre-aggregated group-by, whatever share of the rows one key has.
+    Hits are first counted per group, pass and key (map-side), which leaves a key one row
+    per group and pass whatever share of the hits it has; the windows see only those rows,
+    and a key is worked out once per hit.
     """
     pass_key = ["run_id", "group_id", "pass"]
-    base = hits.groupBy(*pass_key).agg(
-        F.count("*").alias("n_in"), F.count_if(url_key(F.col("url")).isNull()).alias("invalid")
-    )
-    firsts = new_group_keys(hits, seen_in_group).groupBy(*pass_key).agg(F.count("*").alias("_first"))
-    kept = (
-        prefilter(hits.select("run_id", "group_id", "group_ord", "pass", "rank", "url"),
-                  seen_in_group, seen_in_run)
-        .groupBy(*pass_key).agg(F.count("*").alias("kept"))
+    counted = (
+        with_key(hits)
+        .groupBy("run_id", "group_id", "group_ord", "pass", "url_key")
+        .agg(F.count("*").alias("n"), F.min("rank").alias("rank"))
     )
+    valid = F.col("url_key").isNotNull()
+    for seen, keys, flag in (
+        (seen_in_group, GROUP_KEY, "_in_group"), (seen_in_run, RUN_KEY, "_in_run"),
+    ):
+        if seen is None:
+            counted = counted.withColumn(flag, F.lit(False))
+        else:
+            marks = seen.select(*keys).distinct().withColumn(flag, F.lit(True))
+            counted = counted.join(marks, keys, "left").fillna(False, [flag])
+    in_group = Window.partitionBy(*GROUP_KEY).orderBy("pass")
+    in_run = Window.partitionBy(*RUN_KEY, "_new").orderBy(*ORDER, "group_id")
+    labelled = counted.withColumn(
+        "_new", valid & ~F.col("_in_group") & (F.row_number().over(in_group) == 1)
+    ).withColumn("_kept", F.col("_new") & ~F.col("_in_run") & (F.row_number().over(in_run) == 1))
     return (
-        base.join(firsts, pass_key, "left").join(kept, pass_key, "left")
-        .fillna(0, ["_first", "kept"])
-        .select(
-            *pass_key, "n_in", "kept", "invalid",
-            (F.col("n_in") - F.col("invalid") - F.col("_first")).alias("dupe_group"),
-            (F.col("_first") - F.col("kept")).alias("dupe_cross_group"),
+        labelled.groupBy(*pass_key)
+        .agg(
+            F.sum("n").alias("n_in"),
+            F.count_if("_kept").alias("kept"),
+            F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("invalid"),
+            F.sum(F.when(valid, F.col("n") - F.col("_new").cast("int")).otherwise(0)).alias("dupe_group"),
+            F.count_if(F.col("_new") & ~F.col("_kept")).alias("dupe_cross_group"),
         )
     )
-
-

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from farsight.functions.text import fallback_query
 from farsight.functions.verdicts import (
-    BORDERLINE, FINALIZE, NOT_RELEVANT, RELEVANT, RETRY, UNKNOWN,
+    BORDERLINE, FINALIZE, NOT_RELEVANT, RELEVANT, RETRY, UNKNOWN, is_degradable,
 )
 from farsight.operators.verdicts import DOC, PASS
 from farsight.sources.corpus import MAX_RESULTS, search, tokens
@@ -70,7 +71,7 @@ def heuristic_scorer(authoritative: list[str] = AUTHORITATIVE) -> Scorer:
             null_date.alias("publication_date"), null_date.alias("effective_date"),
             null_date.alias("applies_from"), null_date.alias("applies_to"),
             F.lit(UNKNOWN).alias("date_confidence"),
-            F.lit(None).cast("string").alias("error"),
+            F.lit(False).alias("fallback"), F.lit(None).cast("string").alias("error"),
         )
 
     return score
@@ -79,26 +80,43 @@ def heuristic_scorer(authoritative: list[str] = AUTHORITATIVE) -> Scorer:
 PREDICTED = (
     "run_id string, group_id string, pass int, doc_index int, verdict string, rationale string, "
     "publication_date date, effective_date date, applies_from date, applies_to date, "
-    "date_confidence string, error string"
+    "date_confidence string, fallback boolean, error string"
 )
 
 
+class BadOutput(Exception):
+    """Raised by a predictor whose model answered something unusable."""
+
+
+# Unusable answers fall back to Borderline; any other failure fails the group.
+FALLBACK_ERRORS = (BadOutput, json.JSONDecodeError)
+
+
 def predictor_scorer(predict: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
     """Scorer from a pandas predictor run over Arrow batches.
 
     ``predict`` gets a batch of documents and returns their verdict columns in row order.
-    Where a batch fails, its rows are tried one by one, and a row that still fails carries
+    Where a batch fails, its rows are tried one by one. A row whose answer is unusable
+    (``BadOutput`` or broken JSON) is marked ``fallback``; one that fails otherwise carries
     the message in ``error`` instead of failing the job.
     """
     wanted = [f.split()[0] for f in PREDICTED.split(", ")]
-    answers = [c for c in wanted if c not in DOC and c != "error"]
+    answers = [c for c in wanted if c not in (*DOC, "fallback", "error")]
 
     def one_batch(docs: pd.DataFrame) -> pd.DataFrame:
         out = docs[DOC].reset_index(drop=True).copy()
         got = predict(docs.reset_index(drop=True)).reset_index(drop=True)
         for name in answers:
             out[name] = got[name] if name in got else None
-        out["error"] = None
+        out["fallback"], out["error"] = False, None
+        return out[wanted]
+
+    def unanswered(row: pd.DataFrame, failure: Exception) -> pd.DataFrame:
+        out = row[DOC].reset_index(drop=True).copy()
+        for name in answers:
+            out[name] = None
+        out["fallback"] = isinstance(failure, FALLBACK_ERRORS)
+        out["error"] = None if out["fallback"][0] else str(failure) or type(failure).__name__
         return out[wanted]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,15 +129,28 @@ def predictor_scorer(predict: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
                     try:
                         yield one_batch(row)
                     except Exception as failure:  # noqa: BLE001
-                        bad = row[DOC].reset_index(drop=True).copy()
-                        for name in answers:
-                            bad[name] = None
-                        bad["error"] = str(failure) or type(failure).__name__
-                        yield bad[wanted]
+                        yield unanswered(row, failure)
 
     return lambda docs: docs.mapInPandas(run, PREDICTED)
 
 
+def split_failures(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable answers, (run_id, group_id, error) of groups whose call failed for good).
+
+    ``answers`` may carry ``error_status`` and ``bad_output``. Unusable output and transient
+    statuses only leave the answer out, so defaults apply; other statuses fail the group.
+    """
+    if "error_status" not in answers.columns:
+        return answers, answers.select("run_id", "group_id", F.lit("").alias("error")).limit(0)
+    bad = F.col("bad_output") if "bad_output" in answers.columns else F.lit(False)
+    marked = answers.withColumn("_degradable", is_degradable(F.col("error_status"), bad))
+    usable = marked.where(F.col("_degradable").isNull()).drop("_degradable", "error_status", "bad_output")
+    failed = marked.where(~F.col("_degradable")).groupBy("run_id", "group_id").agg(
+        F.concat(F.lit("status "), F.min("error_status").cast("string")).alias("error")
+    )
+    return usable, failed
+
+
 def coverage_decisions(verdicts: DataFrame) -> DataFrame:
     """Default pass decision: Finalize once a pass carried something, else Retry."""
     carried = F.count_if(F.col("verdict") != NOT_RELEVANT)

@@ -22,6 +22,7 @@ from farsight.functions.urls import url_host
 from farsight.operators.metrics import group_status
 from farsight.plans.makers import (
     Scorer, corpus_search, coverage_decisions, heuristic_scorer, keyword_queries, phrase_labels,
+    split_failures,
 )
 from farsight.sources.pages import clean_html
 from farsight.sources.requests import split_requests, topic_groups
@@ -199,9 +200,11 @@ def _one_pass(
     errors = (
         scored.where(F.col("error").isNotNull()).groupBy(*GROUP).agg(F.min("error").alias("error"))
     )
-    verdicts = scored.where(F.col("error").isNull())
+    # A pass with an unusable answer keeps what was answered and tries again.
+    unusable = scored.where("fallback").select(*PASS).distinct()
+    verdicts = scored.where(F.col("error").isNull() & ~F.col("fallback"))
 
-    filled = V.fill_verdicts(docs.drop("cleaned_text"), verdicts)
+    filled = V.fill_verdicts(docs.drop("cleaned_text"), verdicts, unusable)
     window = queries.select("run_id", "start_date", "end_date", "started_at").distinct()
     items = V.result_items(V.route_items(filled, window)).withColumn(
         "full_text_ref",
@@ -221,7 +224,7 @@ def _one_pass(
     counts = kept.groupBy(*PASS).agg(F.count("*").alias("n_docs"))
     shares = V.relevant_share(filled).select(*PASS, "relevant_share")
     decided = V.decide(
-        V.fill_decisions(passes, decisions(verdicts), counts)
+        V.fill_decisions(passes, decisions(verdicts).join(unusable, PASS, "left_anti"), counts)
         .join(shares, PASS, "left")
         .fillna(0.0, ["relevant_share"])
     ).join(errors, GROUP, "left")
@@ -275,8 +278,14 @@ def finalize(
             L.attach_exemplars(meta, priors).select(*GROUP, "n_exemplars"), GROUP, "left"
         )
     base = R.base_records(labelled.drop("level_of_authority"))
-    records = R.overlay(base, record_maker(base) if record_maker else None, keys)
-
+    judged, broken = split_failures(record_maker(base)) if record_maker else (None, None)
+    records = R.overlay(base, judged, keys)
+    if broken is not None:
+        records = records.join(broken, GROUP, "left_anti")
+        items = items.join(broken, GROUP, "left_anti")
+        faulted = faulted.unionByName(
+            broken.select(*GROUP, F.lit(True).alias("faulted"))
+        ).distinct()
     groups = scan.groups.select("run_id", "group_ord", "group_id", "group_name")
     results = group_status(groups.join(faulted, GROUP, "left"), scan.passes, items)
     return results.drop("faulted"), records

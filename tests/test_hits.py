@@ -66,6 +66,15 @@ def test_prefilter_again_keeps_nothing_new(spark):
     assert X.seen_keys(seen, seen).count() == seen.count()
 
 
+def test_counts_with_earlier_keys(spark):
+    _, counts = brute_force(ROWS)
+    table = hits(spark, ROWS)
+    seen = X.new_group_keys(table.where("pass = 1"))
+    for r in X.prefilter_counts(table.where("pass = 2"), seen, seen).collect():
+        where = (r.run_id, r.group_id, 2)
+        assert [r[n] for n in ("n_in", "kept", "dupe_group", "dupe_cross_group")] == [counts[where, n] for n in ("n_in", "kept", "dupe_group", "dupe_cross_group")]
+
+
 def test_a_key_lost_to_another_group_counts_as_seen(spark):
     keys = {(r.group_id, r.url_key) for r in X.new_group_keys(hits(spark, ROWS)).where("run_id = 'r1'").collect()}
     assert ("g2", "gov.uk/a") in keys

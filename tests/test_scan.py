@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from farsight.plans.makers import predictor_scorer
+from farsight.plans.makers import BadOutput, predictor_scorer
+from farsight.functions.verdicts import FAILED_RATIONALE
 from farsight.plans.scan import finalize, load_scan, run_scan, scan_results, write_scan_results
 from farsight.schemas import REQUESTS
 from farsight.sources.vocabulary import vocabulary_rows
@@ -131,3 +132,34 @@ def test_failures_are_isolated(spark, tables, tmp_path):
     results, _ = finalize(broken, vocabulary_rows(spark.createDataFrame([], "name string"), "tags"))
     # a failed search retries up to the cap and fails the group; an empty one ends it at once
     assert {(r.run_id, r.status, r.loop_count) for r in results.collect()} == {("r1", "Failed", 3), ("r2", "Completed", 1)}
+
+
+def test_unusable_answers_fall_back_and_record_failures_are_classified(spark, tables, tmp_path):
+    requests, corpus = tables
+
+    def predict(docs: pd.DataFrame) -> pd.DataFrame:
+        if docs["url"].str.endswith("0").any():
+            raise BadOutput("not json")
+        return pd.DataFrame({"verdict": ["Borderline"] * len(docs)})
+
+    scan = run_scan(requests.where("run_id = 'r1'"), corpus, str(tmp_path / "c"), scorer=predictor_scorer(predict), max_passes=1)
+    items = {i.source_urls[0]: i for i in scan.items.collect()}
+    fallen = [i for u, i in items.items() if u.endswith("0")]
+    assert fallen and {(i.verdict, i.eval_rationale) for i in fallen} == {("Borderline", FAILED_RATIONALE)}
+    groups = {i.group_id for i in fallen}
+    assert {r.llm_decision for r in scan.passes.collect() if r.group_id in groups} == {"Retry"}
+
+    def records(base):
+        status = F.when(F.col("group_name") == "pension", 404).when(F.col("group_name") == "rates, payroll", 503)
+        return base.select("run_id", "group_id", "id", F.lit("judged").alias("company_view"), status.alias("error_status"),
+                           *[F.lit(None).cast("string").alias(n) for n in ("title_of_update", "summary_of_update", "level_of_authority", "status_of_change", "regulator")])
+
+    vocabulary = vocabulary_rows(spark.createDataFrame([], "name string"), "tags")
+    results, judged = finalize(scan, vocabulary, record_maker=records)
+    assert {r.group_name: r.status for r in results.collect() if r.group_name != "nowhere"} == {
+        "rates, payroll": "Completed", "pension": "Failed", "payroll, rates, pension": "Completed"}
+    views = {}
+    for r in judged.collect():
+        views.setdefault(r.group_name, set()).add(r.company_view)
+    # a transient status leaves the base record, a hard one fails the group
+    assert views.get("rates, payroll") == {None} and "pension" not in views

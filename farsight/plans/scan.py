@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from farsight.operators import history as H
 from farsight.operators import hits as X
@@ -240,11 +240,16 @@ def finalize(
     vocabulary: DataFrame,
     priors: DataFrame | None = None,
     record_maker: Callable[[DataFrame], DataFrame] | None = None,
+    area_maker: Callable[[DataFrame], DataFrame] | None = None,
+    tag_maker: Callable[[DataFrame], DataFrame] | None = None,
+    what_it_does: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(group results, item records) of a scan.
 
     Carried items get their full text back by reference, are labelled from the
-    vocabulary, and become records; groups get their status and loop count.
+    vocabulary, and become records; groups get their status and loop count. Makers map
+    items with ``full_text`` to ``impact_area_value``, ``tag_values`` or judged fields by
+    (run_id, group_id, id); whatever they answer is checked against the vocabulary.
     """
     spark = scan.items.sparkSession
     keys = [*GROUP, "id"]
@@ -269,10 +274,18 @@ def finalize(
         snapshots,
     )
     grounded = attach_full_text(carried, read_full_text(spark, snapshots))
-    areas = _first_label(grounded, keys, vocabulary_terms(vocabulary, IMPACT_AREA_TYPE))
-    tags = _label_list(grounded, keys, vocabulary_terms(vocabulary, TAG_TYPE))
+    area_terms = vocabulary_terms(vocabulary, IMPACT_AREA_TYPE)
+    tag_terms = vocabulary_terms(vocabulary, TAG_TYPE)
+    if area_maker is None:
+        areas = _first_label(grounded, keys, area_terms)
+    else:
+        areas = L.single_label(area_maker(grounded), area_terms, "impact_area_value")
+    if tag_maker is None:
+        tags = _label_list(grounded, keys, tag_terms)
+    else:
+        tags = L.multi_label(tag_maker(grounded), tag_terms, keys, "tag_values")
     meta = scan.groups.select(*GROUP, "group_name", "jurisdiction")
-    labelled = L.merge_labels(R.enrich(carried), areas, tags, keys).join(meta, GROUP)
+    labelled = L.merge_labels(R.enrich(carried, what_it_does), areas, tags, keys).join(meta, GROUP)
     if priors is not None:
         labelled = labelled.join(
             L.attach_exemplars(meta, priors).select(*GROUP, "n_exemplars"), GROUP, "left"

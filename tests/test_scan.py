@@ -155,6 +155,14 @@ def test_unusable_answers_fall_back_and_record_failures_are_classified(spark, ta
                            *[F.lit(None).cast("string").alias(n) for n in ("title_of_update", "summary_of_update", "level_of_authority", "status_of_change", "regulator")])
 
     vocabulary = vocabulary_rows(spark.createDataFrame([], "name string"), "tags")
+    def label(items):
+        return items.select("run_id", "group_id", "id", F.lit(" RATES ").alias("impact_area_value"), F.array(F.lit("x"), F.lit("pension")).alias("tag_values"))
+
+    made = vocabulary_rows(spark.createDataFrame([("Pension",)], "name string"), "tags").unionByName(
+        vocabulary_rows(spark.createDataFrame([("Rates",)], "name string"), "ImpactAreas"))
+    _, labelled = finalize(scan, made, area_maker=label, tag_maker=label, what_it_does=F.lit("w"))
+    assert {(r.impact_area, tuple(r.tags), r.what_it_does) for r in labelled.collect()} == {("Rates", ("Pension",), "w")}
+
     results, judged = finalize(scan, vocabulary, record_maker=records)
     assert {r.group_name: r.status for r in results.collect() if r.group_name != "nowhere"} == {
         "rates, payroll": "Completed", "pension": "Failed", "payroll, rates, pension": "Completed"}

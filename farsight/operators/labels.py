@@ -72,9 +72,11 @@ def attach_exemplars(groups: DataFrame, priors: DataFrame, k: int = MAX_EXEMPLAR
 
 
 def merge_labels(items: DataFrame, areas: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
-    """Two independent label tables merged onto the items."""
-    return (
-        items.join(areas.select(*keys, "impact_area"), keys, "left")
-        .join(tags.select(*keys, "tags"), keys, "left")
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    )
+    """Two independent label tables (or one that has both) merged onto the items."""
+    if areas is tags:
+        merged = items.join(areas.select(*keys, "impact_area", "tags"), keys, "left")
+    else:
+        merged = items.join(areas.select(*keys, "impact_area"), keys, "left").join(
+            tags.select(*keys, "tags"), keys, "left"
+        )
+    return merged.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))

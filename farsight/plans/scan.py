@@ -276,13 +276,13 @@ def finalize(
     grounded = attach_full_text(carried, read_full_text(spark, snapshots))
     area_terms = vocabulary_terms(vocabulary, IMPACT_AREA_TYPE)
     tag_terms = vocabulary_terms(vocabulary, TAG_TYPE)
-    if area_maker is None:
-        areas = _first_label(grounded, keys, area_terms)
-    else:
+    occurring = None
+    if area_maker is None or tag_maker is None:
+        occurring = _occurring_labels(grounded, keys, area_terms, tag_terms)
+    areas = tags = occurring
+    if area_maker is not None:
         areas = L.single_label(area_maker(grounded), area_terms, "impact_area_value")
-    if tag_maker is None:
-        tags = _label_list(grounded, keys, tag_terms)
-    else:
+    if tag_maker is not None:
         tags = L.multi_label(tag_maker(grounded), tag_terms, keys, "tag_values")
     meta = scan.groups.select(*GROUP, "group_name", "jurisdiction")
     labelled = L.merge_labels(R.enrich(carried, what_it_does), areas, tags, keys).join(meta, GROUP)
@@ -304,15 +304,20 @@ def finalize(
     return results.drop("faulted"), records
 
 
-def _first_label(items: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
-    found = phrase_labels(items, keys, "full_text", terms)
-    return found.groupBy(*keys).agg(F.min(F.struct("at", "name"))["name"].alias("impact_area"))
-
-
-def _label_list(items: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
+def _occurring_labels(
+    items: DataFrame, keys: list[str], area_terms: DataFrame, tag_terms: DataFrame
+) -> DataFrame:
+    """First impact area and all tags that occur in each item's text, in one text pass."""
+    terms = area_terms.select("name", F.lit("area").alias("kind")).unionByName(
+        tag_terms.select("name", F.lit("tag").alias("kind"))
+    )
     found = phrase_labels(items, keys, "full_text", terms)
+    at = F.struct("at", "name")
     return found.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("tags")
+        F.min(F.when(F.col("kind") == "area", at))["name"].alias("impact_area"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", at))), lambda x: x["name"]
+        ).alias("tags"),
     )
 
 

@@ -13,14 +13,15 @@ from pyspark.sql.types import StructType
 # Runtime SQL settings the operators rely on. UTC keeps instant -> date
 # conversions stable; AQE sizes shuffles, turns small sides into broadcasts by
 # their measured size and splits skewed join partitions (also where the join
-# would otherwise keep its input partitioning).
+# would otherwise keep its input partitioning). Pages are large rows, so Arrow batches
+# hold few of them.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "128",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from farsight.functions.dates import strict_iso_date
 from farsight.functions.text import is_blank, split_list, trim_ws
 from farsight.operators.ordinals import ordinal
 
@@ -11,6 +12,25 @@ from farsight.operators.ordinals import ordinal
 MAX_LOOPS = 3
 
 
+def read_request_dates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with typed dates, rejected rows) of requests whose dates are text.
+
+    A date may be missing; one that is given must be an ISO date or date-time, of which the
+    written local date counts.
+    """
+    typed = raw
+    bad = F.lit(False)
+    for name in ("start_date", "end_date"):
+        typed = typed.withColumn(f"_{name}", strict_iso_date(F.col(name)))
+        bad = bad | (F.col(name).isNotNull() & F.col(f"_{name}").isNull())
+    typed = typed.withColumn("_bad", bad)
+    accepted = typed.where(~F.col("_bad")).withColumns(
+        {"start_date": F.col("_start_date"), "end_date": F.col("_end_date")}
+    )
+    helpers = ["_start_date", "_end_date", "_bad"]
+    return accepted.drop(*helpers), typed.where("_bad").drop(*helpers)
+
+
 def group_base_id(keywords: Column) -> Column:
     """Slug of the first keyword plus 8 hex digits over the order-free keyword set."""
     slug = F.btrim(

@@ -55,3 +55,10 @@ def test_blank_property_reports_as_validation(spark):
     df = spark.createDataFrame([("", "m1"), ("X", "m2")], "p string, m string")
     checked = df.select(F.lit("r").alias("run_id"), F.array(F.struct(F.col("p").alias("property"), F.col("m").alias("message"))).alias("issues"))
     assert {r["property"]: r.n for r in Q.issue_counts(checked).collect()} == {"validation": 1, "X": 1}
+
+
+def test_written_dates_are_typed_or_rejected(spark):
+    rows = [("a", "2025-06-15T23:30:00+05:00", None), ("b", None, "2025-06-15"), ("c", "15/06/2025", None), ("d", "2025-06-15", " ")]
+    good, bad = Q.read_request_dates(spark.createDataFrame(rows, "run_id string, start_date string, end_date string"))
+    assert {r.run_id: (r.start_date, r.end_date) for r in good.collect()} == {"a": (dt.date(2025, 6, 15), None), "b": (None, dt.date(2025, 6, 15))}
+    assert sorted(r.run_id for r in bad.collect()) == ["c", "d"]

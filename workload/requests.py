@@ -240,3 +240,23 @@ def strict_iso_dates(t):
         .otherwise(F.date_format(ts, "dd.MM.yyyy"))
     )
     return t.events.select("event_id", iso(strict_iso_date(written)).alias("parsed"))
+
+
+@query(
+    "request_dates",
+    """SELECT event_id, event_type NOT IN ('error', 'purchase') AS accepted,
+    CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN strftime(ts, '%Y-%m-%d') WHEN 'signup' THEN strftime(ts, '%Y-%m-%d') END AS start_date FROM events""",
+)
+def request_dates(t):
+    """Events as requests with written dates: views have none, errors and purchases malformed ones."""
+    ts, kind = F.col("ts"), F.col("event_type")
+    start = (
+        F.when(kind == "click", F.date_format(ts, "yyyy-MM-dd"))
+        .when(kind == "signup", F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm"), F.lit("-11:00")))
+        .when(kind == "error", F.date_format(ts, "dd/MM/yyyy")).when(kind == "purchase", F.lit(""))
+    )
+    raw = t.events.select("event_id", start.alias("start_date"), F.lit(None).cast("string").alias("end_date"))
+    good, bad = Q.read_request_dates(raw)
+    return good.select("event_id", F.lit(True).alias("accepted"), iso(F.col("start_date")).alias("start_date")).unionByName(
+        bad.select("event_id", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("start_date"))
+    )

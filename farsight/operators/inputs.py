@@ -52,6 +52,24 @@ NO_ATTEMPTS = "- none - this is the first pass."
 NO_QUERIES = (
     "- (none yet - this is the first pass; write a broad query for the whole theme)"
 )
+EVAL_KEYWORDS_TITLE = "Keyword / synonym OR-list defining the theme:"
+QUERY_KEYWORDS_TITLE = "Keyword / synonym OR-list:"
+VETTED_TITLE = (
+    "Previously vetted results carried from earlier passes (%s) - context only, already "
+    "counted toward coverage; do NOT re-evaluate or assign these a verdict:"
+)
+ATTEMPTS_TITLE = "Previous search attempts (%s):"
+DOCUMENTS_TITLE = (
+    "Documents to evaluate THIS pass (%s). These are the ONLY documents to classify - return "
+    "exactly one verdict per index. Do NOT emit verdicts for the previously-vetted results above:"
+)
+TRIED_TITLE = (
+    "Queries already tried (do not repeat; cover the same theme from an angle that fills a gap):"
+)
+NOTES_TITLE = (
+    "Reviewer notes from earlier passes (what was found and what is still missing - "
+    "steer toward the gaps):"
+)
 
 
 def _lines(*lines: Column) -> Column:
@@ -192,7 +210,7 @@ def prior_attempt_lines(reviews: DataFrame, passes: DataFrame) -> DataFrame:
 
 
 def _section(
-    heads: DataFrame, lines: DataFrame, parts: DataFrame, number: int, title, empty: str
+    heads: DataFrame, lines: DataFrame, parts: DataFrame, number: int, title: str, empty: str
 ) -> DataFrame:
     """A section's parts behind its title line (part -1) with the number of lines.
 
@@ -202,7 +220,7 @@ def _section(
     n = F.coalesce("_n", F.lit(0)).cast("string")
     titled = heads.join(counts, PASS, "left").select(
         *PASS, F.lit(-1).alias("part"),
-        _lines(F.lit(""), title(n), F.when(F.col("_n").isNull(), F.lit(empty))).alias("text"),
+        _lines(F.lit(""), F.format_string(title, n), F.when(F.col("_n").isNull(), F.lit(empty))).alias("text"),
     )
     return titled.unionByName(parts).withColumn("section", F.lit(number))
 
@@ -224,7 +242,7 @@ def eval_input(
             F.lit("Pass: "), F.col("pass").cast("string"), F.lit(" of up to "),
             F.col("max_loops").cast("string"),
         ),
-        F.lit("Keyword / synonym OR-list defining the theme:"),
+        F.lit(EVAL_KEYWORDS_TITLE),
         _bullets(F.col("keywords")),
     )
     heads = passes.select(*PASS)
@@ -237,13 +255,7 @@ def eval_input(
     vetted_section = _section(
         heads, earlier,
         text_parts(ordinal(earlier, PASS, "_order", "_o", start=0), PASS, "_o", "line"), 1,
-        lambda n: F.concat(
-            F.lit("Previously vetted results carried from earlier passes ("), n,
-            F.lit(
-                ") - context only, already counted toward coverage; "
-                "do NOT re-evaluate or assign these a verdict:"
-            ),
-        ),
+        VETTED_TITLE,
         NO_VETTED,
     )
     attempts = prior_attempt_lines(reviews, heads)
@@ -252,20 +264,14 @@ def eval_input(
     )
     attempt_section = _section(
         heads, attempts, attempt_parts, 2,
-        lambda n: F.concat(F.lit("Previous search attempts ("), n, F.lit("):")), NO_ATTEMPTS,
+        ATTEMPTS_TITLE, NO_ATTEMPTS,
     )
     doc_counts = docs.groupBy(*PASS).agg(F.count("*").alias("_n"))
     doc_title = heads.join(doc_counts, PASS).select(
         *PASS, F.lit(-1).alias("part"),
         _lines(
             F.lit(""),
-            F.concat(
-                F.lit("Documents to evaluate THIS pass ("), F.col("_n").cast("string"),
-                F.lit(
-                    "). These are the ONLY documents to classify - return exactly one verdict "
-                    "per index. Do NOT emit verdicts for the previously-vetted results above:"
-                ),
-            ),
+            F.format_string(DOCUMENTS_TITLE, F.col("_n").cast("string")),
         ).alias("text"),
         F.lit(3).alias("section"),
     )
@@ -303,19 +309,14 @@ def query_input(passes: DataFrame, reviews: DataFrame) -> DataFrame:
             F.lit("Pass: "), F.col("pass").cast("string"), F.lit(" of up to "),
             F.col("max_loops").cast("string"),
         ),
-        F.lit("Keyword / synonym OR-list:"),
+        F.lit(QUERY_KEYWORDS_TITLE),
         _bullets(F.col("keywords")),
-        F.lit(
-            "Queries already tried (do not repeat; cover the same theme from an angle that fills a gap):"
-        ),
+        F.lit(TRIED_TITLE),
         F.when(F.col("_tried").isNull(), F.lit(NO_QUERIES)).otherwise(_bullets(queries)),
         F.when(
             F.size(notes) > 0,
             _lines(
-                F.lit(
-                    "Reviewer notes from earlier passes (what was found and what is still "
-                    "missing - steer toward the gaps):"
-                ),
+                F.lit(NOTES_TITLE),
                 _bullets(notes),
             ),
         ),

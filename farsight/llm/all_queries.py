@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
 
-from farsight.llm import bpe, decontaminate, quality, secrets, token_files  # noqa: F401
+from farsight.llm import bpe, decontaminate, quality, secrets, token_files, toxicity  # noqa: F401

@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
 
-from farsight.llm import bpe, decontaminate, near_dup, quality, secrets, token_files, toxicity  # noqa: F401
+from farsight.llm import bpe, decontaminate, near_dup, quality, secrets, substring_exact, token_files, toxicity  # noqa: F401

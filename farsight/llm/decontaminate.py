@@ -229,9 +229,24 @@ def n_hit():
                        lambda acc, x: F.struct((acc["n"] + acc["s"] * x).alias("n"), (-acc["s"]).alias("s")), lambda acc: acc["n"])
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of a test item occurs."""
-    return scan_documents(docs, items, **options).where(F.size("hit_words") == 0).select(*docs.columns)
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    item_id: str = "item_id", item_text: str = "text", text_column: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of a test item occurs, with their columns as they are."""
+    import pickle
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for block in item_blocks(items, item_id, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+
+        def clean(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            tests, texts = _test_set(shared.value, window), texts_of(batch, text_column)
+            flags = [not found for a, b in chunks(texts, 4 << 20) for _, _, found in tests.scan(texts[a:b])]
+            return batch.filter(pa.array(flags, pa.bool_()))
+
+        docs = arrow_map(docs, clean, schema)
+    return docs
 
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

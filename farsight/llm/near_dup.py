@@ -15,6 +15,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from farsight.llm.common import arrow_map, shuffle_parts, stage, texts_of
 from farsight.llm.components import connected_components
@@ -293,6 +294,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of the least id, of rows with one id the first by text.
+
+    Unlinked rows all stay, those without words too. Ids that repeat or are null are told apart by a
+    number in a written copy of the rows.
+    """
+    uid = "_row_of_" + "_".join(docs.columns)
+    clash = docs.groupBy(id_column).agg(F.count("*").alias("n")).where(F.col(id_column).isNull() | (F.col("n") > 1))
+    if isinstance(docs.schema[id_column].dataType, (IntegerType, LongType)) and clash.isEmpty():
+        rows = docs.withColumn(uid, F.col(id_column).cast("long"))
+    else:
+        rows = stage(docs.sort(id_column, text_column).withColumn(uid, F.monotonically_increasing_id()), "rows")
+    # Far fewer rows go than stay, so the ones that go are joined.
+    gone = near_duplicates(rows, size, percent, uid, text_column).where("NOT kept").select(F.col("doc_id").alias(uid))
+    return rows.join(gone, uid, "left_anti").select(*docs.columns)
+
+
 _W = r"[^\x20\x09-\x0D]+"
 SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,

@@ -131,19 +131,22 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(codes, zero, step, lambda acc: acc["sum"])
 
 
-def scan_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """All columns of ``docs`` with ``base_spans`` and ``spans``, replacing columns of those names.
+def scan_secrets(
+    docs: DataFrame, ratios: list[float], text_column: str = "text", min_ratio: float = MIN_RATIO, names: tuple[str, str] = ("base_spans", "spans"),
+) -> DataFrame:
+    """All columns of ``docs`` with ``base_spans`` and ``spans`` (``names``), replacing columns of those names.
 
     Both are arrays of (start, kind, end), sorted, in code points with the end exclusive; kind is
     the place in ``KINDS``, counted from 1. ``spans`` holds the base spans and the tokens that the
     models add; a token that overlaps a base span adds nothing. Null and empty texts have none.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("base_spans", "spans")]
+    base, every = names
+    kept = [c for c in docs.columns if c not in names]
     tokens = _spans(text, f"[{ALPHABET[:-1]}-]{{{MIN_TOKEN},}}", 4, lambda t: log_ratio(t, ratios) > min_ratio)
-    found = docs.select(*kept, F.concat(*base_spans(text)).alias("base_spans"), tokens.alias("_tokens"))
-    apart = F.filter("_tokens", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select(*kept, F.array_sort("base_spans").alias("base_spans"), F.array_sort(F.concat("base_spans", apart)).alias("spans"))
+    found = docs.select(*kept, F.concat(*base_spans(text)).alias(base), tokens.alias(every))
+    apart = F.filter(every, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return found.select(*kept, F.array_sort(base).alias(base), F.array_sort(F.concat(base, apart)).alias(every))
 
 
 def span_text(spans: Column | str) -> Column:
@@ -154,7 +157,9 @@ def span_text(spans: Column | str) -> Column:
 
 def mask_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text", mark: str = "[SECRET]", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; overlapping spans give one mark."""
-    found = scan_secrets(docs, ratios, text_column, min_ratio).drop("base_spans")
+    # Names that no column of ``docs`` has.
+    base, every = (f"_{k}_{len(docs.columns)}_{'_'.join(docs.columns)}"[:200] for k in ("base", "spans"))
+    found = scan_secrets(docs, ratios, text_column, min_ratio, (base, every)).drop(base)
     text = F.col(text_column)
 
     def step(acc: Column, s: Column) -> Column:
@@ -162,8 +167,8 @@ def mask_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text"
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_column, F.when(F.size("spans") > 0, masked).otherwise(text)).drop("spans")
+    masked = F.aggregate(every, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_column, F.when(F.size(every) > 0, masked).otherwise(text)).select(*docs.columns)
 
 
 @query("op10_secrets")

@@ -65,7 +65,7 @@ def strict_iso_date(c: Column) -> Column:
 
 def leading_date(c: Column) -> Column:
     """Date at the start of a text whose tail may be anything; years 1900-2100 only."""
-    head = trim_ws(F.substring(F.regexp_replace(trim_ws(c), r"[\s\x{85}\p{Z}]+", " "), 1, 80))
+    head = F.regexp_replace(trim_ws(c), r"[\s\x{85}\p{Z}]+", " ")
     parsed = once(head, lambda t: _parse(t, rf"{TIME}(?=\s|$)"))
     return once(parsed, lambda d: F.when(F.year(d).between(1900, 2100), d))
 

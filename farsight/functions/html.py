@@ -64,9 +64,13 @@ def unescape(text: str | None) -> str | None:
 LEADING = [(re.compile(f"(?i:{form}){TIME}(?=\\s|$)"), groups) for form, groups in DATE_FORMS]
 
 
+DATE_WORDS = 12
+
+
 def leading_iso(raw: str) -> str | None:
     """``yyyy-MM-dd`` of the date a text starts with (years 1900-2100), else None."""
-    head = " ".join(raw.split())
+    # A date with its time has at most eight words; the words after them cannot matter.
+    head = " ".join(raw.split(None, DATE_WORDS)[:DATE_WORDS])
     for regex, groups in LEADING:
         found = regex.match(head)
         if found:
@@ -95,14 +99,79 @@ def _dated(marks) -> list[dict]:
     return list(dated.values())
 
 
-_ATTRS = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})>"
-    r"|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
+
+
+class Markup:
+    """The markup of a page in one forward scan.
+
+    Iterating gives (start, end, closing, tag, attributes); comments, declarations, scripts and
+    styles have no tag. What a search did not find once is not sought again, so the time is
+    linear in the page.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.missing: set[str] = set()  # quotes, or ">", that do not come again
+
+    def _find(self, mark: str, at: int) -> int:
+        if mark in self.missing:
+            return -1
+        found = self.html.find(mark, at)
+        if found < 0:
+            self.missing.add(mark)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The ``>`` of the tag whose name ends at ``at``; one in quotes counts only if no other comes."""
+        here = at
+        while "unquoted" not in self.missing:
+            stop = QUOTE_OR_END.search(self.html, here)
+            if stop is None:
+                self.missing.add("unquoted")
+            elif stop.group() == ">":
+                return stop.start()
+            else:
+                closing = self._find(stop.group(), stop.end())
+                if closing < 0:
+                    break
+                here = closing + 1
+        return self._find(">", at)
+
+    def __iter__(self):
+        html, at = self.html, 0
+        while True:
+            # Without a ">" to come only a comment can still start.
+            start = html.find("<" if self._find(">", at) >= 0 else "<!--", at)
+            if start < 0:
+                return
+            at = start + 1
+            following = html[at : at + 1]
+            if following in ("!", "?"):
+                if html.startswith("<!--", start):
+                    end = self._find("-->", start + 4)
+                    at = len(html) if end < 0 else end + 3
+                    yield start, at, False, None, ""
+                elif (end := self._find(">", at)) >= 0:
+                    at = end + 1
+                    yield start, at, False, None, ""
+                continue
+            name = TAG_NAME.match(html, at)
+            end = self._tag_end(name.end()) if name else -1
+            if end < 0:
+                continue
+            closing, tag = name.group(1) == "/", name.group(2).lower()
+            at = end + 1
+            if not closing and tag in RAW_END:
+                raw_end = RAW_END[tag].search(html, at)
+                at = len(html) if raw_end is None else raw_end.end()
+                yield start, at, False, None, ""
+            else:
+                yield start, at, closing, tag, html[name.end() : end]
+
+
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -113,55 +182,64 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+# The first words of a text, which is where its date would be. No word of a date is nearly as long.
+FIRST_WORDS = re.compile(
+    rf"(?:\s|&nbsp;|&#160;|&#[xX][aA]0;)*+(\S{{0,200}}(?:\s+\S{{1,200}}){{0,{DATE_WORDS - 1}}})"
+)
+
+
 def read_page(html: str) -> tuple[str, list[dict]]:
     """(text of the page's content root, labelled dates of the whole page)."""
     visible: list[str] = []  # text outside boilerplate
     everything: list[str] = []
+    length = 0  # of ``everything``, so that an element's text is a pair of offsets
     roots: dict[str, tuple[int, int | None]] = {}
     metas: list[tuple] = []
     times: list[list] = []
     definitions: list[list] = []
-    terms: dict[int, str | None] = {}  # depth -> text of the last dt there
+    terms: dict[int, tuple[int, int] | None] = {}  # depth -> text of the last dt there
     stack: list[tuple] = []  # (tag, where its text starts, slot to fill on closing)
+    opened: dict[str, int] = {}
     hidden = last = 0
 
     def close() -> None:
         nonlocal hidden
         tag, start, slot = stack.pop()
+        opened[tag] -= 1
         if tag in BOILERPLATE:
             hidden -= 1
         elif tag in ROOTS:
             if slot:
                 roots[tag] = (start, len(visible))
         elif tag == "dt":
-            terms[len(stack)] = "".join(everything[start:])
+            terms[len(stack)] = (start, length)
         elif slot is not None and slot[1] is None:
-            slot[1] = "".join(everything[start:])
+            slot[1] = (start, length)
 
-    for token in TOKEN.finditer(html):
-        if token.start() > last:
-            data = html[last : token.start()]
+    for begin, end, closing, tag, attributes in Markup(html):
+        if begin > last:
+            data = html[last:begin]
             everything.append(data)
+            length += len(data)
             if not hidden:
                 visible.append(data)
-        last = token.end()
-        if token["tag"] is None:
+        last = end
+        if tag is None:
             continue
-        tag = token["tag"].lower()
-        if tag == "meta" and not token["close"]:
-            given = _attributes(token["attrs"])
+        if tag == "meta" and not closing:
+            given = _attributes(attributes)
             metas.append((given.get("name", given.get("property")), given.get("content")))
         if tag not in TRACKED:
             continue
-        if token["close"]:
-            if any(entry[0] == tag for entry in stack):
+        if closing:
+            if opened.get(tag):
                 while stack[-1][0] != tag:
                     close()
                 close()
             continue
-        if token["attrs"].endswith("/"):
+        if attributes.endswith("/"):
             continue
-        depth, start, slot = len(stack), len(everything), None
+        depth, start, slot = len(stack), length, None
         terms[depth + 1] = None
         if tag in BOILERPLATE:
             hidden += 1
@@ -170,21 +248,39 @@ def read_page(html: str) -> tuple[str, list[dict]]:
             if not hidden and tag not in roots:
                 roots[tag], slot = (start, None), True
         elif tag == "time":
-            given = (_attributes(token["attrs"]).get("datetime") or "").strip()
+            given = (_attributes(attributes).get("datetime") or "").strip()
             slot = ["date", given or None]
             times.append(slot)
         elif tag == "dd":
             slot = [terms.get(depth), None]
             definitions.append(slot)
         stack.append((tag, start, slot))
+        opened[tag] = opened.get(tag, 0) + 1
     if last < len(html):
         everything.append(html[last:])
+        length += len(html) - last
         if not hidden:
             visible.append(html[last:])
     while stack:
         close()
+    text = "".join(everything)
+    labels: dict = {}
+
+    def resolved(marks: list[list]) -> list[tuple]:
+        """Offsets to texts: the first words of a date, the whole of a label where there is a date."""
+        out = []
+        for label, raw in marks:
+            if isinstance(raw, tuple):
+                raw = FIRST_WORDS.match(text, *raw).group(1)
+            if isinstance(label, tuple):
+                if not raw or leading_iso(unescape(raw)) is None:
+                    continue
+                label = labels.setdefault(label, text[slice(*label)])
+            out.append((label, raw))
+        return out
+
     start, end = next((roots[r] for r in ROOTS if r in roots), (0, len(visible)))
-    return unescape("".join(visible[start:end])), _dated(metas + times + definitions)
+    return unescape("".join(visible[start:end])), _dated(metas + resolved(times) + resolved(definitions))
 
 
 @F.pandas_udf(PAGE)

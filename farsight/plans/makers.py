@@ -22,11 +22,7 @@ from farsight.functions.verdicts import (
 from farsight.operators.verdicts import DOC, PASS
 from farsight.sources.corpus import MAX_RESULTS, search, tokens
 
-# Theme terms of the labelled themes and the authoritative domain.
-THEME_TERMS = {
-    "advisory fuel rates": ["advisory fuel rate", "fuel rate", "mileage", "company car"],
-    "national insurance": ["national insurance", "nic", "class 1"],
-}
+# Fixed value: the authoritative domain.
 AUTHORITATIVE = ["gov.uk"]
 FALLBACK_RATIONALE = (
     "Deterministic keyword fallback: the model returned no usable query, "
@@ -36,12 +32,12 @@ FALLBACK_RATIONALE = (
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def theme_terms(theme: Column) -> Column:
-    """Terms that mention a theme: its listed terms, else the theme itself."""
+def theme_terms(theme: Column, listed: dict[str, list[str]] | None = None) -> Column:
+    """Terms that mention a theme: those ``listed`` under its lower-case name, else the theme itself."""
     folded = F.lower(theme)
     terms = F.array(folded)
-    for name, listed in THEME_TERMS.items():
-        terms = F.when(folded == name, F.array(*[F.lit(t) for t in listed])).otherwise(terms)
+    for name, words in (listed or {}).items():
+        terms = F.when(folded == name, F.array(*[F.lit(t) for t in words])).otherwise(terms)
     return terms
 
 

@@ -34,10 +34,10 @@ def with_doc_index(docs: DataFrame, order: str = "rank", keys: list[str] = PASS)
 def parse_verdicts(payloads: DataFrame) -> DataFrame:
     """JSON answers parsed: ``thought_process, llm_decision, items, failed``.
 
-    Malformed JSON or a missing item list makes the answer ``failed``.
+    Malformed JSON, a missing item list or a field of another type makes the answer ``failed``.
     """
     parsed = payloads.withColumn("_a", F.from_json("payload", VERDICT_JSON, {"mode": "PERMISSIVE"}))
-    failed = F.col("_a.items").isNull()
+    failed = F.col("_a.items").isNull() | V.mistyped(F.col("payload"), V.VERDICT_TYPES)
     return parsed.select(
         *[c for c in payloads.columns if c != "payload"],
         F.when(failed, V.FAILED_THOUGHT)

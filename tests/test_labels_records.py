@@ -124,3 +124,12 @@ def test_a_theme_stands_for_itself_or_its_listed_terms(spark):
     df = spark.createDataFrame([("Tides",), ("boats",)], "theme string")
     got = [r.t for r in df.select(theme_terms(F.col("theme"), {"tides": TIDES}).alias("t")).collect()]
     assert got == [TIDES, ["boats"]]
+
+
+def test_mistyped_label_and_record_answers_are_unreadable(spark):
+    rows = [(1, '{"impactArea":7}', '{"tags":"IR35"}', '{"titleOfUpdate":5}'), (2, '{"impactArea":"A"}', '{"tags":["IR35"]}', '{"titleOfUpdate":"T","regulator":null}'),
+            (3, '{"impactArea":["A"]}', '{"tags":[1]}', '["T"]')]
+    answers = spark.createDataFrame(rows, "id int, area string, tag string, payload string")
+    got = {r.id: (r.impact_area_value, r.tag_values) for r in R.parse_labels(answers, "area", "tag").collect()}
+    assert got == {1: (None, []), 2: ("A", ["IR35"]), 3: (None, [])}
+    assert [(r.id, r.title_of_update) for r in R.parse_records(answers.select("id", "payload")).collect()] == [(2, "T")]

@@ -93,3 +93,17 @@ def test_steer_notes(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(notes)], "i int, thought_process string")
     got = [(r.i, r.facet, r.reason) for r in V.steer_rows(df, ["i"]).orderBy("i", "facet_pos").collect()]
     assert got == [(0, "rates", "MissingFacet"), (0, "dates", "MissingFacet"), (0, "P", "Stale"), (0, "Q", "Stale"), (3, "a", "MissingFacet"), (3, "b", "WeakEvidence")]
+
+
+@pytest.mark.parametrize("payload", [
+    '{"items":[{"index":"abc","verdict":"NOT_RELEVANT"}]}', '{"items":[{"index":1,"verdict":7}]}', '{"items":"none"}', '{"items":[3]}',
+    '{"decision":true,"items":[]}', '{"items":[{"index":2.5}]}', '{"items":[{"rationale":["x"]}]}', '{"items":[{"index":1},{"index":"1"}]}',
+])
+def test_a_field_of_another_type_fails_the_answer(spark, payload):
+    row = V.parse_verdicts(answers(spark, payload)).head()
+    assert row.failed and row.items is None and row.llm_decision == "Retry"
+
+
+def test_absent_and_null_fields_do_not_fail(spark):
+    for payload in ('{"items":[{}]}', '{"items":[{"index":null,"verdict":null,"extra":7}],"thoughtProcess":null}', '{"items":[]}'):
+        assert not V.parse_verdicts(answers(spark, payload)).head().failed

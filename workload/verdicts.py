@@ -212,7 +212,8 @@ def verdict_words(t):
 def order_answers(t: Tables) -> DataFrame:
     """One answer per order over two documents: its verdict twice, an index out of range.
 
-    Open orders' answers are not JSON and pending ones have no item list.
+    Open orders' answers are not JSON and pending ones have no item list. Of the others those of
+    every seventh order have a field of another type.
     """
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     good = F.format_string(
@@ -222,7 +223,15 @@ def order_answers(t: Tables) -> DataFrame:
         F.col("o_orderkey"), F.when(F.col("o_totalprice") > 200000, "relevant").otherwise("not relevant"), date,
     )
     status = F.col("o_orderstatus")
-    payload = F.when(status == "O", "not json").when(status == "P", '{"decision":"FINALIZE"}').otherwise(good)
+    mistyped = F.array(*[F.lit(x) for x in (
+        '{"items":[{"index":"abc","verdict":"NOT_RELEVANT"}]}', '{"items":[{"index":1,"verdict":7}]}', '{"items":{"index":1}}',
+        '{"decision":["FINALIZE"],"items":[]}', '{"items":[{"index":1.5,"verdict":"RELEVANT"}]}',
+    )])
+    bad = F.get(mistyped, F.pmod("o_orderkey", F.lit(5)).cast("int"))
+    payload = (
+        F.when(status == "O", "not json").when(status == "P", '{"decision":"FINALIZE"}')
+        .when(F.pmod("o_orderkey", F.lit(7)) == 0, bad).otherwise(good)
+    )
     return t.orders.select(
         F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").cast("string").alias("group_id"),
         F.lit(1).alias("pass"), payload.alias("payload"),
@@ -240,11 +249,11 @@ def order_pairs(t: Tables) -> DataFrame:
     "verdict_json_rows",
     f"""SELECT CAST(o_custkey AS VARCHAR) AS run_id, CAST(o_orderkey AS VARCHAR) AS group_id, CAST(1 AS INTEGER) AS pass,
     CAST(i AS INTEGER) AS doc_index,
-    CASE WHEN o_orderstatus = 'F' AND i = 1 THEN CASE WHEN o_totalprice > 200000 THEN 'Relevant' ELSE 'NotRelevant' END ELSE 'Borderline' END AS verdict,
-    CASE WHEN o_orderstatus <> 'F' THEN '{W.FAILED_RATIONALE}' WHEN i = 0 THEN '{W.OMITTED_RATIONALE}' ELSE 'r' END AS rationale,
-    CASE WHEN o_orderstatus = 'F' AND i = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS publication_date,
-    CASE WHEN o_orderstatus = 'F' AND i = 1 THEN 'High' ELSE 'Unknown' END AS date_confidence
-  FROM orders, range(2) r(i)""",
+    CASE WHEN good AND i = 1 THEN CASE WHEN o_totalprice > 200000 THEN 'Relevant' ELSE 'NotRelevant' END ELSE 'Borderline' END AS verdict,
+    CASE WHEN NOT good THEN '{W.FAILED_RATIONALE}' WHEN i = 0 THEN '{W.OMITTED_RATIONALE}' ELSE 'r' END AS rationale,
+    CASE WHEN good AND i = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS publication_date,
+    CASE WHEN good AND i = 1 THEN 'High' ELSE 'Unknown' END AS date_confidence
+  FROM (SELECT *, o_orderstatus = 'F' AND o_orderkey % 7 <> 0 AS good FROM orders), range(2) r(i)""",
 )
 def verdict_json_rows(t):
     parsed = V.parse_verdicts(order_answers(t))
@@ -257,9 +266,10 @@ def verdict_json_rows(t):
 
 @query(
     "verdict_json_decisions",
-    f"""SELECT CAST(o_orderkey AS VARCHAR) AS group_id, o_orderstatus <> 'F' AS failed,
-    CASE WHEN o_orderstatus = 'F' THEN 'Finalize' ELSE 'Retry' END AS llm_decision,
-    CASE WHEN o_orderstatus = 'F' THEN 'note ' || o_orderkey ELSE '{W.FAILED_THOUGHT}' END AS thought_process FROM orders""",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS group_id, NOT good AS failed,
+    CASE WHEN good THEN 'Finalize' ELSE 'Retry' END AS llm_decision,
+    CASE WHEN good THEN 'note ' || o_orderkey ELSE '{W.FAILED_THOUGHT}' END AS thought_process
+  FROM (SELECT *, o_orderstatus = 'F' AND o_orderkey % 7 <> 0 AS good FROM orders)""",
 )
 def verdict_json_decisions(t):
     return V.parse_verdicts(order_answers(t)).select("group_id", "failed", "llm_decision", "thought_process")

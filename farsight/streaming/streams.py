@@ -14,16 +14,18 @@ FAILURE_RATIO = 0.5
 MIN_CALLS = {"chat": 10, "search": 5}
 
 
-def dedupe_hits(hits: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+def dedupe_hits(hits: DataFrame, ts: str = "ts", delay: str | None = None) -> DataFrame:
     """First arrival of each (run, canonical key).
 
-    State is dropped once the watermark passes, so it stays bounded. Unlike the batch
-    window the first *arrival* wins, not the lowest (pass, group, rank).
+    A key is remembered for as long as the stream runs, as a run's key set is. Where keys only
+    repeat within a known time, ``delay`` bounds the state: keys older than the watermark are
+    forgotten and later rows of theirs come through again or are late. Unlike the batch window
+    the first *arrival* wins, not the lowest (pass, group, rank).
     """
     keyed = hits.withColumn(ts, F.col(ts).cast("timestamp")).withColumn(
         "url_key", url_key(F.col("url"))
     ).where(F.col("url_key").isNotNull())
-    if not hits.isStreaming:
+    if not hits.isStreaming or delay is None:
         return keyed.dropDuplicates(["run_id", "url_key"])
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["run_id", "url_key"])
 
@@ -63,13 +65,17 @@ def failure_windows(
     width: str = FAILURE_WINDOW,
     min_calls: int = MIN_CALLS["chat"],
     delay: str = "1 minute",
+    slide: str | None = None,
 ) -> DataFrame:
-    """Calls, failures and whether the ratio opens the circuit, per tumbling window."""
+    """Calls, failures and whether the ratio opens the circuit, per window.
+
+    With ``slide`` the windows roll: one starts every ``slide`` and a call is in each that spans it.
+    """
     timed = calls.withColumn(ts, F.col(ts).cast("timestamp"))
     if calls.isStreaming:
         timed = timed.withWatermark(ts, delay)
     return (
-        timed.groupBy(F.window(ts, width).alias("w"), *keys)
+        timed.groupBy(F.window(ts, width, slide).alias("w"), *keys)
         .agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures"))
         .select(
             F.col("w.start").alias("window_start"), *keys, "calls", "failures",

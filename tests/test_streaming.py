@@ -34,6 +34,20 @@ def test_dedupe_stream_equals_batch_keys(spark, tmp_path):
     assert sorted(r.url_key for r in got) == sorted(r.url_key for r in want) == [f"x.uk/{i}" for i in range(5)]
 
 
+def test_keys_are_remembered_for_the_whole_run(spark, tmp_path):
+    rows = [("r", "https://x.uk/1", T0), ("r", "https://x.uk/2", T0 + dt.timedelta(days=9)), ("r", "https://x.uk/1/", T0 + dt.timedelta(days=9))]
+    schema = "run_id string, url string, ts timestamp"
+    streamed = T.dedupe_hits(stream_of(spark, tmp_path, "hits", [[r] for r in rows] + [[("r", "https://x.uk/3", T0)]], schema))
+    assert sorted(r.url_key for r in drain(spark, streamed, "run_keys", "append", tmp_path)) == ["x.uk/1", "x.uk/2", "x.uk/3"]
+
+
+def test_windows_roll(spark):
+    calls = [(T0 + dt.timedelta(seconds=s), s >= 20) for s in range(0, 40, 2)]
+    rolled = T.failure_windows(spark.createDataFrame(calls, "ts timestamp, failed boolean"), [], slide="10 seconds")
+    got = {(r.window_start - T0).total_seconds(): (r.calls, r.failures, r.open) for r in rolled.collect()}
+    assert got == {-20: (5, 0, False), -10: (10, 0, False), 0: (15, 5, False), 10: (15, 10, True), 20: (10, 10, True), 30: (5, 5, False)}
+
+
 def test_failure_windows_open_at_the_ratio(spark, tmp_path):
     calls = [(T0 + dt.timedelta(seconds=s), s % 2 == 0) for s in range(20)] + [(T0 + dt.timedelta(seconds=30 + s), s == 0) for s in range(12)]
     late = [(T0 + dt.timedelta(hours=1), False)]

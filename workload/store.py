@@ -301,6 +301,19 @@ def call_failure_windows_by_user(t):
     return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "call_failure_windows_rolling",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures,
+    count(*) >= 10 AND count(*) FILTER (event_type = 'error') >= 0.5 * count(*) AS open
+  FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS w FROM events, range(4) r(k)) GROUP BY w""",
+)
+def call_failure_windows_rolling(t):
+    """Hour-long windows of which one starts every quarter of an hour."""
+    calls = t.events.withColumn("failed", F.col("event_type") == "error")
+    windows = T.failure_windows(calls, [], width="1 hour", slide="15 minutes")
+    return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 @query(
     "dedupe_batch_form",
     """SELECT DISTINCT event_type AS run_id, 'example.org/u' || user_id AS url_key FROM events""",

@@ -63,10 +63,18 @@ class Scan:
     keys: DataFrame
     items: DataFrame
     root: str
+    rejected: DataFrame | None = None  # requests with their issues; they have no groups
 
 
 def page_corpus(pages: DataFrame) -> DataFrame:
-    """``url, title, cleaned_text`` of an HTML page table (parsed once)."""
+    """``url, title, cleaned_text`` of an HTML page table (parsed once), one row per URL.
+
+    Of several pages with one URL the least by its text is taken. Only those are shuffled.
+    """
+    many = pages.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url")
+    single = pages.select("url", "html").join(many, "url", "left_anti")
+    chosen = pages.select("url", "html").join(many, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+    pages = single.unionByName(chosen)
     title = F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
     return clean_html(pages.select("url", title.alias("title"), "html")).select(
         "url", "title", "cleaned_text"
@@ -111,10 +119,11 @@ def run_scan(
     spark = requests.sparkSession
     scorer = scorer or heuristic_scorer()
     search = search or corpus_search(corpus)
-    valid, _ = split_requests(requests)
+    valid, rejected = split_requests(requests)
     meta = valid.drop("topic_groups")
     if not _done(spark, root, 0):
         topic_groups(valid).join(meta, "run_id").write.mode("overwrite").parquet(f"{root}/groups")
+        rejected.write.mode("overwrite").parquet(f"{root}/rejected")
         _write_empty(spark, root)
     groups = spark.read.parquet(f"{root}/groups")
     corpus = corpus.select("url", "title", "cleaned_text")
@@ -159,6 +168,7 @@ def load_scan(spark: SparkSession, root: str) -> Scan:
         keys=_table(spark, root, "keys", KEYS),
         items=_table(spark, root, "items", ITEMS),
         root=root,
+        rejected=spark.read.parquet(f"{root}/rejected"),
     )
 
 

@@ -25,17 +25,19 @@ def match_scores(
 ) -> DataFrame:
     """Per (query, document): distinct matched terms and total matches.
 
-    Only terms a query asks for survive the join, and a document's matches are
-    counted where it was read before anything is shuffled.
+    Words that no query asks for go first, and a document's occurrences of a word are one
+    counted row before it meets the queries.
     """
     words = corpus.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
-    matches = (
-        words.join(terms, "term")
-        .groupBy(*keys, "doc_id", "term")
+    counted = (
+        words.join(terms.select("term").distinct(), "term", "left_semi")
+        .groupBy("doc_id", "term")
         .agg(F.count("*").alias("n"))
     )
-    return matches.groupBy(*keys, "doc_id").agg(
-        F.count("*").alias("matched_terms"), F.sum("n").alias("matches")
+    return (
+        counted.join(terms, "term")
+        .groupBy(*keys, "doc_id")
+        .agg(F.count("*").alias("matched_terms"), F.sum("n").alias("matches"))
     )
 
 
@@ -50,14 +52,18 @@ def search(
 ) -> DataFrame:
     """The ``k`` best documents per query: boost, distinct terms, matches, then id.
 
-    ``boost`` (doc_id, boost) is optional; documents not in it count as 0.
+    ``boost`` (doc_id, boost) is optional; documents not in it count as 0. Each distinct query
+    text is scored and cut to its best documents once; the rows that ask it join only those.
     """
-    scores = match_scores(corpus, doc_id, text, query_terms(queries, keys), keys)
+    asked = queries.select(*keys, F.col("query").alias("_query"))
+    texts = asked.select("_query").distinct()
+    scores = match_scores(corpus, doc_id, text, query_terms(texts, ["_query"], "_query"), ["_query"])
     if boost is not None:
         scores = scores.join(boost, "doc_id", "left").fillna(0, ["boost"])
     else:
         scores = scores.withColumn("boost", F.lit(0))
-    return top_per(
-        scores, keys, k,
+    best = top_per(
+        scores, ["_query"], k,
         F.desc("boost"), F.desc("matched_terms"), F.desc("matches"), F.asc("doc_id"),
     )
+    return asked.join(best, "_query").drop("_query")

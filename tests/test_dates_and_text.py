@@ -113,3 +113,8 @@ def test_ratio_and_fallback_query(spark, one):
     assert [r[0] for r in df.select(ratio(F.col("a"), F.col("b"), 1.0)).collect()] == [1.0, 0.8]
     assert one(fallback_query(F.split("k", ","), F.col("n"), F.col("j")), k="NIC,PAYE", n="g", j="UK") == "NIC UK update"
     assert one(fallback_query(F.array().cast("array<string>"), F.col("n"), F.col("j")), n="g", j="UK") == "g UK update"
+
+
+def test_leading_date_is_read_however_long_the_text(one):
+    for text in ("2024-03-05T10:11:12." + "0" * 120 + "Z later", " " * 300 + "5 March 2024 " + "x" * 500, "5" + " " * 200 + "March 2024 on", "x" * 100 + " 2024-03-05"):
+        assert one(leading_date(F.col("x")).cast("string"), x=text) == leading_iso(text)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farsight.plans.makers import BadOutput, predictor_scorer
 from farsight.functions.verdicts import FAILED_RATIONALE
-from farsight.plans.scan import finalize, load_scan, run_scan, scan_results, write_scan_results
+from farsight.plans.scan import finalize, load_scan, page_corpus, run_scan, scan_results, write_scan_results
 from farsight.schemas import REQUESTS
 from farsight.sources.vocabulary import vocabulary_rows
 
@@ -171,3 +171,27 @@ def test_unusable_answers_fall_back_and_record_failures_are_classified(spark, ta
         views.setdefault(r.group_name, set()).add(r.company_view)
     # a transient status leaves the base record, a hard one fails the group
     assert views.get("rates, payroll") == {None} and "pension" not in views
+
+
+def test_repeated_urls_and_rejected_requests(spark, tmp_path):
+    pages = spark.createDataFrame([("https://a.gov.uk/1", "<title>B</title><p> rates b"), ("https://a.gov.uk/1", "<title>A</title><p> rates a"),
+                                   ("https://a.gov.uk/1", "<title>A</title><p> rates a"), ("https://a.gov.uk/2", "<p>rates c")], "url string, html string")
+    corpus = page_corpus(pages)
+    assert sorted((r.url, r.cleaned_text) for r in corpus.collect()) == [("https://a.gov.uk/1", "A rates a"), ("https://a.gov.uk/2", "rates c")]
+    requests = spark.createDataFrame([("r", "UK", None, None, dt.datetime(2026, 7, 1), ["rates"]), ("bad", "", None, None, dt.datetime(2026, 7, 1), ["x"])], REQUESTS)
+    scan = run_scan(requests, corpus, str(tmp_path / "scan"))
+    assert scan.items.count() == 2 and {r.run_id for r in scan.groups.collect()} == {"r"}
+    assert [(r.run_id, len(r.issues) > 0) for r in scan.rejected.collect()] == [("bad", True)]
+
+
+def test_search_makes_no_row_per_page_and_group_before_the_cut(spark):
+    from farsight.sources.corpus import search
+
+    corpus = spark.createDataFrame([(f"u{i}", "update rates") for i in range(50)], "url string, t string")
+    queries = spark.createDataFrame([(f"g{k}", "rates update") for k in range(400)], "group_id string, query string")
+    found = search(corpus, "url", "t", queries, ["group_id"], 3)
+    assert found.count() == 1200 and found.where("rank = 1").select("doc_id").distinct().head()[0] == "u0"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    cut = next(i for i, line in enumerate(lines) if "Window" in line)
+    assert "group_id" not in "".join(line for line in lines[cut:] if "doc_id" in line)

@@ -151,6 +151,16 @@ def request_quality(t):
     )
 
 
+@query(
+    "rejected_requests",
+    f"""WITH {SQL_ISSUES} SELECT run_id, CAST(len(issues) AS INTEGER) AS n_issues FROM i WHERE len(issues) > 0""",
+)
+def rejected_requests(t):
+    """Requests that a scan refuses, with the number of their issues."""
+    _, rejected = Q.split_requests(order_requests(t))
+    return rejected.select("run_id", F.size("issues").alias("n_issues"))
+
+
 @query(
     "validation_report",
     f"""WITH {SQL_ISSUES} SELECT x[1] AS property, x[2] AS message, count(*) AS n

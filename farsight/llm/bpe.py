@@ -103,14 +103,14 @@ class ByteBpe:
         chars = self.chars
         return self.model.encode("".join([chars[b] for b in data]))
 
-    def encode_piece(self, text: str) -> tuple[int, ...]:
+    def encode_piece(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.pattern.findall(text):
             out += self.encode_pretoken(part.encode())
-        return tuple(out)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoder.ids(text)
+        return np.frombuffer(self.encoder.packed(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.tokens
@@ -139,9 +139,9 @@ def encode_documents(
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = codec(shared.value, pattern)
-        ids = [bpe.encode(t.decode("utf-8", "replace")) for t in texts_of(batch, text_column)]
+        ids = [bpe.encoder.packed(t.decode("utf-8", "replace")) for t in texts_of(batch, text_column)]
         columns = [batch.column(i) for i in range(batch.num_columns)]
-        columns += [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+        columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, token_column, "n_tokens"])
 
     return arrow_map(docs.select(*kept), encode, f"{schema}, `{token_column}` binary, n_tokens long")

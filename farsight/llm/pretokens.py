@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -21,63 +20,67 @@ _PIECE = re.compile(r"(?:(?<=\S) (?=\S))|(?:(?<=\S)\n(?=\S))")
 
 
 class PieceCache(dict):
-    """Word -> its ids, filled by ``encode``; emptied when ``limit`` words are held."""
+    """Word -> its packed ids, filled by ``encode``.
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]], prefix: str, limit: int) -> None:
+    When ``limit`` words are held they become the older generation, whose words come back on use.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], prefix: str, limit: int) -> None:
         super().__init__()
         self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(self.prefix + word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self.encode(self.prefix + word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
 class CachedEncoder:
-    """Ids of whole texts; ``encode`` gives the ids of any piece between safe cuts."""
-
-    def __init__(self, encode: Callable[[str], tuple[int, ...]], limit: int = 200_000) -> None:
-        self.encode = encode
-        self.first = PieceCache(encode, "", limit)
-        self.rest = PieceCache(encode, " ", limit)
-        self.line_break = encode("\n")
-
-    def _line(self, line: str, out: list) -> None:
-        words = line.split(" ")
-        out.append(self.first[words[0]])
-        rest = self.rest
-        out.extend([rest[w] for w in words[1:]])
-
-    def pieces(self, text: str) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = []
+    """Packed ids of whole texts; ``encode`` gives the ids of any piece between safe cuts."""
+
+    def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4", limit: int = 350_000) -> None:
+        self.dtype = np.dtype(dtype)
+        packed = lambda piece: np.array(encode(piece), self.dtype).tobytes()
+        self.first = PieceCache(packed, "", limit // 8)
+        self.rest = PieceCache(packed, " ", limit)
+        self.line_break = packed("\n")
+
+    def pieces(self, text: str) -> list[bytes]:
+        out: list[bytes] = []
         if not text:
             return out
         if _RUN.search(text):
             self._careful(text, out)
             return out
+        first, rest = self.first, self.rest
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(self.line_break)
-            self._line(line, out)
+            words = line.split(" ")
+            out.append(first[words[0]])
+            out += [rest[w] for w in words[1:]]
         return out
 
     def _careful(self, text: str, out: list) -> None:
         """Cuts only at lone spaces and line breaks between two non-space characters."""
-        start = 0
-        prefix = ""
+        start, cache = 0, self.first
         for cut in _PIECE.finditer(text):
             at = cut.start()
-            out.append((self.rest if prefix else self.first)[text[start:at]])
+            out.append(cache[text[start:at]])
+            cache = self.rest
             if text[at] == "\n":
                 out.append(self.line_break)
-                prefix = ""
-            else:
-                prefix = " "
+                cache = self.first
             start = at + 1
-        out.append((self.rest if prefix else self.first)[text[start:]])
+        out.append(cache[text[start:]])
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(self.pieces(text)), np.uint32)
+    def packed(self, text: str) -> bytes:
+        """The ids of ``text`` as consecutive integers of ``dtype``."""
+        return b"".join(self.pieces(text))

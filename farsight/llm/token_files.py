@@ -39,17 +39,25 @@ BLOCK_IDS = 1 << 18
 
 
 @lru_cache(maxsize=2)
-def _encoder(data: bytes) -> CachedEncoder:
+def _encoder(data: bytes, dtype: str) -> CachedEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(data.decode())
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return CachedEncoder(lambda piece: tuple(tokenizer.encode(piece, add_special_tokens=False).ids))
+    return CachedEncoder(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, dtype)
+
+
+def id_type(tokenizer: str) -> str:
+    """The narrowest unsigned type that holds the ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids): the ids of each whole text and ``end_id``, as little-endian 32-bit integers.
+    """(doc_id, ids): the ids of each whole text and ``end_id``, as little-endian integers of two
+    bytes where the vocabulary has at most 65,536 ids, else of four (``id_type``).
 
     A null text counts as empty. ``tokenizer`` is a file of the tokenizers library whose splits are
     those of the byte-level pattern; it is sent to the executors after a check of its size.
@@ -59,24 +67,25 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc
         raise ValueError(f"tokenizer of {len(data)} bytes; at most {MAX_TOKENIZER_BYTES} are broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(data)
     kind = docs.schema[id_column].dataType.simpleString()
-    tail = np.array([end_id], "<u4").tobytes()
+    dtype = id_type(tokenizer)
+    tail = np.array([end_id], dtype).tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(shared.value)
-        ids = [encoder.ids(t.decode("utf-8", "replace")).astype("<u4").tobytes() + tail for t in texts_of(batch)]
+        encoder = _encoder(shared.value, dtype)
+        ids = [encoder.packed(t.decode("utf-8", "replace")) + tail for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return arrow_map(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), run, f"doc_id {kind}, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, dtype: str = "<u4") -> DataFrame:
     """(id, n) over all documents; each task sends one row per id that it has seen."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, "<u4"))
+                found = np.bincount(np.frombuffer(x, dtype))
                 if len(found) > len(total):
                     total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
                 total[: len(found)] += found
@@ -186,8 +195,8 @@ def _codebook(ids: bytes, lengths: bytes) -> Codebook:
 _BLOCK_FIELDS = "part int, block int, first long, doc_ids array<{kind}>, counts array<long>, n_bits long, payload binary, checkpoints array<long>"
 
 
-def write_token_files(tokens: DataFrame, path: str, parts: int | None = None, max_length: int = MAX_LENGTH) -> None:
-    """Writes ``tokens`` (doc_id, ids) as a file set below ``path``, in ascending doc_id order.
+def write_token_files(tokens: DataFrame, path: str, dtype: str = "<u4", parts: int | None = None, max_length: int = MAX_LENGTH) -> None:
+    """Writes ``tokens`` (doc_id, ids as integers of ``dtype``) as a file set below ``path``, in ascending doc_id order.
 
     The codebook is made of the counts of all ids; the driver holds at most one count per distinct
     id, of which there may be 2 ** ``max_length``. Null ids come first, repeated ones together. An
@@ -196,7 +205,7 @@ def write_token_files(tokens: DataFrame, path: str, parts: int | None = None, ma
     if not 1 <= max_length <= 24:
         raise ValueError("codes have 1 to 24 bits")
     spark = tokens.sparkSession
-    counts = id_counts(tokens).limit((1 << max_length) + 1).collect()
+    counts = id_counts(tokens, dtype).limit((1 << max_length) + 1).collect()
     ids, n = (np.array([r[k] for r in counts], np.int64) for k in (0, 1))
     lengths = code_lengths(n, max_length)
     book = spark.createDataFrame(pa.table({"id": ids, "length": lengths}))
@@ -221,7 +230,7 @@ def write_token_files(tokens: DataFrame, path: str, parts: int | None = None, ma
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                run = np.frombuffer(data, "<u4").astype(np.int64)
+                run = np.frombuffer(data, dtype).astype(np.int64)
                 docs.append(doc)
                 runs.append(run)
                 held += len(run)
@@ -239,7 +248,7 @@ def write_token_files(tokens: DataFrame, path: str, parts: int | None = None, ma
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of a file set.
 
-    ``start`` is the number of ids of all documents before it.
+    ``ids`` holds little-endian 32-bit integers. ``start`` is the number of ids of all documents before it.
     """
     book = spark.read.parquet(f"{path}/codebook").orderBy("id").toPandas()
     shared = spark.sparkContext.broadcast((book["id"].to_numpy(np.int64).tobytes(), book["length"].to_numpy(np.int64).tobytes()))
@@ -274,8 +283,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Huffman-coded files and read back from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = stage(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), 2), "tokens")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = stage(tokenize(docs, tokenizer, 2), "tokens")
     path = stage_dir(spark, "token-files")
-    write_token_files(tokens, path)
+    write_token_files(tokens, path, id_type(tokenizer))
     back = read_token_files(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -10,10 +10,13 @@ from farsight.functions.urls import url_host
 from farsight.operators import labels as L
 from farsight.operators import records as R
 from farsight.operators import verdicts as V
-from farsight.plans.makers import phrase_labels
+from farsight.plans.makers import phrase_labels, split_failures
 from farsight.sources import priors as P
-from farsight.sources.vocabulary import vocabulary_rows, vocabulary_terms
-from workload.registry import Tables, query, sql_host, sql_stable_id
+from farsight.session import stage_dir
+from farsight.sources.vocabulary import (
+    IMPACT_AREA_TYPE, TAG_TYPE, read_vocabulary, seed_vocabulary, vocabulary_rows, vocabulary_terms,
+)
+from workload.registry import ORACLES, Tables, query, sql_host, sql_stable_id
 from workload.verdicts import SQL_ROUTED, order_items
 
 # --- vocabulary: part names and types, in several spellings ----------------------------
@@ -205,6 +208,30 @@ def csv_export(t):
     return P.export_columns(customer_priors(t))
 
 
+@query("csv_round_trip", ORACLES["csv_export"])
+def csv_round_trip(t):
+    """The export written as CSV files, read back as prior records and exported again."""
+    path = stage_dir(t.spark, "priors-csv")
+    P.write_csv(customer_priors(t), path)
+    return P.export_columns(P.read_priors(t.spark, path))
+
+
+@query(
+    "vocabulary_seeded_twice",
+    """SELECT 'ImpactAreas' AS doc_type, lower(p_type) AS key, p_type AS name FROM part GROUP BY p_type
+  UNION ALL SELECT 'tags', lower(w), w FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)""",
+)
+def vocabulary_seeded_twice(t):
+    """Areas and tags of the parts, written twice and read back by type."""
+    areas = vocabulary_rows(t.part.select(F.col("p_type").alias("name")), IMPACT_AREA_TYPE)
+    tags = vocabulary_rows(t.part.select(F.explode(F.split("p_name", " ")).alias("name")), TAG_TYPE)
+    path = stage_dir(t.spark, "vocabulary")
+    for _ in range(2):
+        seed_vocabulary(areas.unionByName(tags), path)
+    read = [read_vocabulary(t.spark, path, kind).select(F.lit(kind).alias("doc_type"), "key", "name") for kind in (IMPACT_AREA_TYPE, TAG_TYPE)]
+    return read[0].unionByName(read[1])
+
+
 @query(
     "tag_split",
     """SELECT c_custkey, c_mktsegment || '|' || c_name AS tags FROM customer""",
@@ -217,6 +244,31 @@ def tag_split(t):
 # --- records -----------------------------------------------------------------------------
 
 
+@query("enriched_records", "SELECT o_orderkey, lower(o_orderpriority) AS what_it_does FROM orders")
+def enriched_records(t):
+    return R.enrich(t.orders, F.lower("o_orderpriority")).select("o_orderkey", "what_it_does")
+
+
+@query(
+    "record_failures",
+    """WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS run_id, o_orderpriority AS group_id, o_orderkey,
+    CASE o_orderkey % 5 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN 400 END AS status, o_orderkey % 15 = 3 AS bad FROM orders)
+  SELECT run_id, group_id, CAST(count(*) FILTER (status IS NULL AND NOT bad) AS BIGINT) AS usable,
+    'status ' || min(status) FILTER (status IN (400, 404) AND NOT bad) AS error FROM a GROUP BY 1, 2""",
+)
+def record_failures(t):
+    """Record answers of each group that can be used, and the status that fails the group."""
+    status = F.expr("CASE o_orderkey % 5 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN 400 END")
+    answers = t.orders.select(
+        F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("group_id"),
+        status.alias("error_status"), (F.col("o_orderkey") % 15 == 3).alias("bad_output"),
+    )
+    usable, failed = split_failures(answers)
+    counts = usable.groupBy("run_id", "group_id").agg(F.count("*").alias("usable"))
+    groups = answers.select("run_id", "group_id").distinct()
+    return groups.join(counts, ["run_id", "group_id"], "left").join(failed, ["run_id", "group_id"], "left").fillna(0, ["usable"])
+
+
 def judged_orders(t: Tables) -> DataFrame:
     """Routed orders as result items with a page URL."""
     host = F.concat(F.lit("https://www.site"), (F.col("group_id")).cast("string"), F.lit(".example.org/"))

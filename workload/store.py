@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from farsight.functions.urls import url_key
 from farsight.operators import gates as G
 from farsight.operators import learnings as L
+from farsight.schemas import DOCUMENT_STORE
+from farsight.session import stage_dir
 from farsight.sources import store as S
 from farsight.streaming import streams as T
 from workload.registry import (
-    SQL_PAGE_RUN, Tables, page_run, query, sql_host, sql_norm_host, sql_url_key,
+    ORACLES, SQL_PAGE_RUN, Tables, page_run, query, sql_host, sql_norm_host, sql_url_key,
 )
 from workload.verdicts import SQL_ROUTED, order_items
 
@@ -49,6 +51,15 @@ def batch_upsert(t):
     return S.upsert(stored(t), S.latest(twice, S.KEY, "seq").drop("seq"))
 
 
+@query("upsert_written", ORACLES["batch_upsert"])
+def upsert_written(t):
+    """The table written first and upserted with the arriving batch, twice, then read back."""
+    path = stage_dir(t.spark, "store")
+    for batch in (stored(t), arriving(t), arriving(t)):
+        S.write_upsert(t.spark, path, batch, DOCUMENT_STORE)
+    return t.spark.read.schema(DOCUMENT_STORE).parquet(path)
+
+
 @query(
     "create_conflicts",
     f"""WITH {SQL_STORE} SELECT "partition", count(*) FILTER (version > 1997) AS created, count(*) FILTER (version = 1997) AS conflicts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from farsight.functions import verdicts as W
@@ -10,6 +11,7 @@ from farsight.operators import learnings as L
 from farsight.operators import metrics as M
 from farsight.operators import records as R
 from farsight.operators import verdicts as V
+from farsight.plans.makers import BadOutput, predictor_scorer
 from farsight.operators.ordinals import ordinal
 from farsight.plans.makers import coverage_decisions, heuristic_verdict
 from workload.registry import Tables, query
@@ -476,3 +478,30 @@ def coverage(t):
         F.lit("r").alias("run_id"), F.col("doc_id").alias("group_id"), F.lit(1).alias("pass"), "verdict"
     )
     return coverage_decisions(rows).select("group_id", "llm_decision")
+
+
+def length_verdicts(docs: pd.DataFrame) -> pd.DataFrame:
+    """A predictor over batches that refuses some texts and answers others badly."""
+    if docs["text"].str.contains("secret|token", regex=True).any():
+        raise ValueError("refused")
+    if docs["text"].str.contains("###", regex=False).any():
+        raise BadOutput("no answer")
+    long = docs["text"].str.len() > 1000
+    return pd.DataFrame({"verdict": long.map({True: "Relevant", False: "Borderline"}), "rationale": docs["url"]})
+
+
+@query(
+    "predicted_verdicts",
+    """SELECT source AS run_id, lang AS group_id, CAST(doc_id AS INTEGER) AS doc_index,
+    CASE WHEN NOT (refused OR bad) THEN CASE WHEN length(text) > 1000 THEN 'Relevant' ELSE 'Borderline' END END AS verdict,
+    CASE WHEN NOT (refused OR bad) THEN 'doc ' || doc_id END AS rationale, bad AND NOT refused AS fallback,
+    CASE WHEN refused THEN 'refused' END AS error
+  FROM (SELECT *, regexp_matches(text, 'secret|token') AS refused, contains(text, '###') AS bad FROM documents)""",
+)
+def predicted_verdicts(t):
+    """A batch predictor over all documents; rows that fail do so alone."""
+    docs = t.documents.select(
+        F.col("source").alias("run_id"), F.col("lang").alias("group_id"), F.lit(1).alias("pass"), F.col("doc_id").cast("int").alias("doc_index"),
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("url"), "text",
+    )
+    return predictor_scorer(length_verdicts)(docs).select("run_id", "group_id", "doc_index", "verdict", "rationale", "fallback", "error")

@@ -85,10 +85,10 @@ def document_clip(c: Column, max_chars: int = DOCUMENT_CHARS) -> Column:
     )
 
 
-def text_budget(n_items: Column, total: int = BLOCK_CHARS) -> Column:
-    """Characters each of ``n_items`` texts may take of a shared budget."""
+def text_budget(n_items: Column, total: int = BLOCK_CHARS, least: int = ITEM_CHARS) -> Column:
+    """Characters each of ``n_items`` texts may take of ``total``; never under ``least``."""
     share = F.floor(F.lit(total) / F.greatest(F.lit(1), n_items))
-    return F.greatest(F.lit(ITEM_CHARS), share).cast("int")
+    return F.greatest(F.lit(least), share).cast("int")
 
 
 def ratio(part: Column, whole: Column, empty: float) -> Column:

@@ -14,6 +14,7 @@ from farsight.functions.text import (
     BLOCK_CHARS,
     DOCUMENT_CHARS,
     EXEMPLAR_CHARS,
+    ITEM_CHARS,
     document_clip,
     head_clip,
     is_blank,
@@ -111,21 +112,28 @@ def update_block(index: Column, budget: Column, text: str = "full_text") -> Colu
     )
 
 
-def item_blocks(items: DataFrame, text: str = "full_text") -> DataFrame:
-    """``updates_block`` of each item on its own (a row expression, no shuffle)."""
-    block = update_block(F.lit(1), text_budget(F.lit(1), BLOCK_CHARS), text)
+def item_blocks(items: DataFrame, text: str = "full_text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``updates_block`` of each item on its own (a row expression, no shuffle).
+
+    Texts longer than ``block_chars`` are clipped and end with the mark of a cut.
+    """
+    block = update_block(F.lit(1), text_budget(F.lit(1), block_chars), text)
     return items.withColumn("updates_block", _lines(F.lit(BLOCK_HEADER), block))
 
 
 def group_blocks(
-    items: DataFrame, keys: list[str], order: str, text: str = "full_text", rows: int = PART_ROWS
+    items: DataFrame, keys: list[str], order: str, text: str = "full_text", rows: int = PART_ROWS,
+    block_chars: int = BLOCK_CHARS, item_chars: int = ITEM_CHARS,
 ) -> DataFrame:
-    """Context block over all items of a group, as parts; the text budget is shared.
+    """Context block over all items of a group, as parts of ``rows`` items each.
+
+    The items share ``block_chars`` characters of text, but each may have ``item_chars``; longer
+    texts are clipped and end with the mark of a cut.
 
     Texts are cut to their share before they are shuffled.
     """
     counts = items.groupBy(*keys).agg(F.count("*").alias("_n"))
-    budgeted = items.join(counts, keys).withColumn("_budget", text_budget(F.col("_n")))
+    budgeted = items.join(counts, keys).withColumn("_budget", text_budget(F.col("_n"), block_chars, item_chars))
     clipped = budgeted.withColumn(text, head_clip(F.col(text), F.col("_budget")))
     numbered = ordinal(clipped, keys, order, "_index")
     block = update_block(F.col("_index"), F.col("_budget"), text)
@@ -153,9 +161,11 @@ def document_block(text: str = "cleaned_text", max_chars: int = DOCUMENT_CHARS)
     )
 
 
-def document_parts(docs: DataFrame, rows: int = PART_ROWS, text: str = "cleaned_text") -> DataFrame:
-    """Documents of each pass as text parts, clipped before they are shuffled."""
-    lines = docs.select(*PASS, "doc_index", document_block(text).alias("_t"))
+def document_parts(
+    docs: DataFrame, rows: int = PART_ROWS, text: str = "cleaned_text", max_chars: int = DOCUMENT_CHARS
+) -> DataFrame:
+    """Documents of each pass as parts of ``rows`` documents, clipped before they are shuffled."""
+    lines = docs.select(*PASS, "doc_index", document_block(text, max_chars).alias("_t"))
     return text_parts(lines, PASS, "doc_index", "_t", rows)
 
 
@@ -226,10 +236,12 @@ def _section(
 
 
 def eval_input(
-    passes: DataFrame, docs: DataFrame, vetted: DataFrame, reviews: DataFrame
+    passes: DataFrame, docs: DataFrame, vetted: DataFrame, reviews: DataFrame,
+    rows: int = PART_ROWS, document_chars: int = DOCUMENT_CHARS,
 ) -> DataFrame:
     """Evaluation prompt of each pass as parts: heading, earlier results, attempts, documents.
 
+    A part holds ``rows`` lines or documents of a section; documents are clipped to ``document_chars``.
     ``passes`` carries run_id, group_id, pass and the group and request columns
     (group_name, keywords, max_loops, jurisdiction, start_date, end_date, started_at).
     """
@@ -254,13 +266,13 @@ def eval_input(
     )
     vetted_section = _section(
         heads, earlier,
-        text_parts(ordinal(earlier, PASS, "_order", "_o", start=0), PASS, "_o", "line"), 1,
+        text_parts(ordinal(earlier, PASS, "_order", "_o", start=0), PASS, "_o", "line", rows), 1,
         VETTED_TITLE,
         NO_VETTED,
     )
     attempts = prior_attempt_lines(reviews, heads)
     attempt_parts = text_parts(
-        attempts.withColumn("_o", F.col("attempt") - 1), PASS, "_o", "line"
+        attempts.withColumn("_o", F.col("attempt") - 1), PASS, "_o", "line", rows
     )
     attempt_section = _section(
         heads, attempts, attempt_parts, 2,
@@ -275,7 +287,7 @@ def eval_input(
         ).alias("text"),
         F.lit(3).alias("section"),
     )
-    doc_section = document_parts(docs).withColumn("section", F.lit(3))
+    doc_section = document_parts(docs, rows, max_chars=document_chars).withColumn("section", F.lit(3))
     return (
         head.unionByName(vetted_section).unionByName(attempt_section)
         .unionByName(doc_title).unionByName(doc_section)
@@ -357,12 +369,12 @@ def label_input(items: DataFrame, terms: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def exemplar_block(exemplars: Column, jurisdiction: Column) -> Column:
-    """Prior records as numbered examples with clipped fields."""
+def exemplar_block(exemplars: Column, jurisdiction: Column, field_chars: int = EXEMPLAR_CHARS) -> Column:
+    """Prior records as numbered examples, each field clipped to ``field_chars``."""
 
     def field(label: str, c: Column) -> Column:
         return F.when(
-            ~is_blank(c), F.concat(F.lit(f"  {label}: "), head_clip(c, EXEMPLAR_CHARS))
+            ~is_blank(c), F.concat(F.lit(f"  {label}: "), head_clip(c, field_chars))
         )
 
     def example(e: Column) -> Column:
@@ -386,7 +398,7 @@ def exemplar_block(exemplars: Column, jurisdiction: Column) -> Column:
     return F.when(F.coalesce(F.size(exemplars), F.lit(0)) == 0, F.lit(NO_EXEMPLARS)).otherwise(listed)
 
 
-def record_input(items: DataFrame) -> DataFrame:
+def record_input(items: DataFrame, field_chars: int = EXEMPLAR_CHARS) -> DataFrame:
     """Record prompt of each item: labels, its context block and its group's exemplars.
 
     ``items`` carries group_name, jurisdiction, updates_block, impact_area, tags, exemplars.
@@ -404,7 +416,7 @@ def record_input(items: DataFrame) -> DataFrame:
         ),
         F.lit(""),
         F.col("updates_block"),
-        exemplar_block(F.col("exemplars"), F.col("jurisdiction")),
+        exemplar_block(F.col("exemplars"), F.col("jurisdiction"), field_chars),
         F.lit(RECORD_CLOSING),
     )
     return items.withColumn("text", text).drop("updates_block", "exemplars")

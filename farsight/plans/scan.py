@@ -25,7 +25,7 @@ from farsight.plans.makers import (
     split_failures,
 )
 from farsight.sources.pages import clean_html
-from farsight.sources.requests import split_requests, topic_groups
+from farsight.sources.requests import MAX_LOOPS, split_requests, topic_groups
 from farsight.sources.snapshots import (
     attach_full_text, full_text_ref, read_full_text, write_full_text,
 )
@@ -109,12 +109,14 @@ def run_scan(
     search_failures: Callable[[DataFrame], DataFrame] | None = None,
     allowlist: DataFrame | None = None,
     max_passes: int | None = None,
+    max_loops: int = MAX_LOOPS,
 ) -> Scan:
     """Runs the passes of all valid requests and returns the written tables.
 
     ``corpus`` holds ``url, title, cleaned_text``; a hit whose URL it lacks is unverified.
     ``search_failures`` maps queries to (run_id, group_id, pass, reason) rows.
-    Calling again with the same ``root`` skips the passes that are complete.
+    A group takes at most ``max_loops`` passes; ``max_passes`` ends the whole scan earlier, to be
+    gone on with later. Calling again with the same ``root`` skips the passes that are complete.
     """
     spark = requests.sparkSession
     scorer = scorer or heuristic_scorer()
@@ -122,7 +124,7 @@ def run_scan(
     valid, rejected = split_requests(requests)
     meta = valid.drop("topic_groups")
     if not _done(spark, root, 0):
-        topic_groups(valid).join(meta, "run_id").write.mode("overwrite").parquet(f"{root}/groups")
+        topic_groups(valid, max_loops).join(meta, "run_id").write.mode("overwrite").parquet(f"{root}/groups")
         rejected.write.mode("overwrite").parquet(f"{root}/rejected")
         _write_empty(spark, root)
     groups = spark.read.parquet(f"{root}/groups")

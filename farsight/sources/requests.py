@@ -45,9 +45,11 @@ def group_base_id(keywords: Column) -> Column:
     )
 
 
-def topic_groups(requests: DataFrame) -> DataFrame:
+def topic_groups(requests: DataFrame, max_loops: int = MAX_LOOPS) -> DataFrame:
     """Requests to one row per topic group that has a keyword, in request order.
 
+    ``max_loops`` is the number of passes a group may take.
+
     Equal groups of a run share a base id; the n-th of them gets the suffix ``-n``.
     """
     rows = (
@@ -65,7 +67,7 @@ def topic_groups(requests: DataFrame) -> DataFrame:
         .alias("group_id"),
         F.array_join("keywords", ", ").alias("group_name"),
         "keywords",
-        F.lit(MAX_LOOPS).alias("max_loops"),
+        F.lit(max_loops).alias("max_loops"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farsight.functions.dates import lenient_date, outside_window, window_end
 from farsight.functions.text import is_blank, percent, ratio, trim_to_null, trim_ws
@@ -23,8 +23,15 @@ VERDICT_COLUMNS = [
 ]
 
 
-def with_doc_index(docs: DataFrame, order: str = "rank", keys: list[str] = PASS) -> DataFrame:
-    """0-based position of each document inside its pass."""
+def with_doc_index(docs: DataFrame, order: str = "rank", keys: list[str] = PASS, large: bool = True) -> DataFrame:
+    """0-based position of each document inside its pass.
+
+    ``large=False`` numbers in one shuffle and reads ``docs`` once; it is for passes whose documents
+    a search has limited, as a pass then goes through one task.
+    """
+    if not large:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        return docs.withColumn("doc_index", (place - 1).cast("int"))
     return ordinal(docs, keys, order, "doc_index", start=0)
 
 

@@ -196,7 +196,7 @@ def _one_pass(
     # Dedupe and rank on narrow rows, then fetch only the kept hits' texts.
     kept = _stage(
         spark,
-        V.with_doc_index(X.prefilter(raw, seen, seen)).withColumn("domain", url_host(F.col("url"))),
+        V.with_doc_index(X.prefilter(raw, seen, seen), large=False).withColumn("domain", url_host(F.col("url"))),
         root, "kept", number,
     )
     texts = _stage(

@@ -87,6 +87,22 @@ def group_context_blocks(t):
     return I.group_blocks(rows, ["group_id"], "doc_index")
 
 
+@query(
+    "group_context_whole",
+    f"""WITH {SQL_ITEMS}, n AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM it),
+  b AS (SELECT group_id, doc_index, CASE WHEN doc_index = 0 THEN '{I.BLOCK_HEADER}' || chr(10) ELSE '' END
+          || {_sql_block("(doc_index + 1)", "greatest(2000, 48000 // n)")} AS block FROM n)
+  SELECT group_id, sha256(string_agg(block, chr(10) ORDER BY doc_index)) AS text_sha256 FROM b GROUP BY 1""",
+)
+def group_context_whole(t):
+    """The parts of each group's block, of seven items each, joined back to the whole text."""
+    rows = staged(items(t), stage_dir(t.spark, "items"))
+    parts = I.group_blocks(rows, ["group_id"], "doc_index", rows=7)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    whole = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
+    return parts.groupBy("group_id").agg(F.sha2(whole, 256).alias("text_sha256"))
+
+
 # --- passes: a document's pass is its position in the source, one of three -----------------
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farsight.llm.common import arrow_map, chunks, texts_of
+from farsight.llm.common import arrow_map, bounded_sample, chunks, texts_of
 from farsight.llm.decontaminate import words_of
 from farsight.llm.registry import query, table
 
@@ -118,15 +118,20 @@ def fit(rows: Iterator[tuple[bytes, int]], epochs: int = EPOCHS, bits: int = FEA
     return learner.model()
 
 
-def train(labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", max_rows: int = TRAIN_ROWS) -> Model:
-    """Fits on the ``max_rows`` labelled rows that come first by a hash of their text.
+def train(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = TRAIN_ROWS,
+) -> Model:
+    """Fits on the ``max_rows`` labels that come first by a hash of their id, and the texts of those ids.
 
-    Rows without a label are left out. One task learns; only the weights come to the driver. With
-    no labelled rows every weight is zero and scores are one half.
+    Null labels, ids without a text row and null ids are left out; a repeated id gives its rows each.
+    The chosen labels are broadcast, their number being bounded, so no other text moves. One task
+    learns; only the weights come to the driver. Without any labelled text all weights are zero.
     """
+    known = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
+    chosen = bounded_sample(known, ["id", "label"], max_rows)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = labelled.where(F.col(label_column).isNotNull()).select(text.alias("text"), F.col(label_column).cast("int").alias("label"))
-    sample = rows.withColumn("h", F.xxhash64("text")).orderBy("h", "text", "label").limit(max_rows).select("text", "label")
+    rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    sample = rows.orderBy(F.xxhash64("id", "label"), "id", "text", "label").limit(max_rows).select("text", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
@@ -187,6 +192,6 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, by a model of the labelled rows outside fold 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold() != 1)
-    model = train(docs.where(fold() != 1).join(labels, "doc_id"))
+    model = train(docs.where(fold() != 1), labels)
     scored = score(docs, model)
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -199,7 +199,7 @@ def _scan_block(docs: DataFrame, shared, window: int, text_column: str, item_typ
         at = batch.schema.get_field_index("hit_words")
         old_runs, old_items = batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()
         columns[at] = pa.array([merge_runs(x, y) for x, y in zip(old_runs, runs)], pa.list_(pa.int64()))
-        columns[at + 1] = pa.array([sorted(set(x) | set(y)) for x, y in zip(old_items, names)], pa.list_(batch_type))
+        columns[at + 1] = pa.array([list({*x, *y}) for x, y in zip(old_items, names)], pa.list_(batch_type))
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -232,3 +232,31 @@ def test_components_of_long_chains(llm):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in connected_components(llm.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+@pytest.mark.parametrize("group", [1024, 6])
+def test_drifting_copies_are_joined_link_by_link(llm, monkeypatch, group):
+    """Each text differs a little from the one before, so no leader is linked with all; also with groups cut into blocks."""
+    monkeypatch.setattr(near_dup, "GROUP", group)
+    rng = random.Random(21)
+    rows = []
+    for start in range(3):
+        words = [f"w{start}x{rng.randint(0, 500)}" for _ in range(90)]
+        for _ in range(30):
+            rows.append((len(rows), " ".join(words)))
+            at = rng.randrange(80)
+            words[at : at + rng.choice([1, 2, 8])] = [f"z{rng.randint(0, 10**6)}" for _ in range(2)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(llm.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    n, roots = brute_components(sorted(rows), 3, 85)
+    assert [got[d] for d in range(len(rows))] == list(zip(n, roots))
+    assert 3 < len(set(roots)) < 60
+
+
+def test_shared_counts_equal_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, k).astype(np.uint64)) for k in (1, 50, 200, 400, 3)]
+    counts = near_dup.shared_counts(sets, columns=64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or counts[i, j] == len(np.intersect1d(a, b))

@@ -3,8 +3,9 @@
 Documents of one shingle set form a class; only classes go on. Bands of minima give buckets. In a
 bucket the class with the least key leads; the others are compared with it by their packed b-bit
 signatures, whose share of equal values is corrected for chance, and what may reach the threshold is
-confirmed on the sets. A second round takes the pairs of a bucket that no confirmed links connect
-yet. Links give components, so copies and groups never expand into all their pairs.
+confirmed on the sets. What a bucket holds of likely links between components that no confirmed
+link joins yet makes groups for a second round, in which the sets of a group meet and are compared
+by matrix products. Links give components, so copies and groups never expand into rows of pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ BANDS, ROWS, BITS = 24, 4, 2
 HASHES = BANDS * ROWS
 # Standard deviations below the threshold at which a signature still makes a pair a candidate.
 MARGIN = 4.0
-# Members of one bucket that are compared at a time, and members of a centre in one task.
-BLOCK, PER_TASK = 8192, 256
+# Members of a centre that are confirmed in one task.
+PER_TASK = 256
+# Classes of a second-round group whose sets meet in one task.
+GROUP = 1024
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEED = np.random.default_rng(20240229)
@@ -167,40 +170,39 @@ def _lead(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Record
 
 
 def _across(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
-    """Round 2: the pairs of a bucket that may be links and are in different components.
+    """Round 2: what joins the classes of a bucket that may be links and are in different components.
 
-    Earlier blocks of the open bucket are kept packed, at 40 bytes a class and its root.
+    Of all such pairs of a bucket only those are given that join two parts of it, at most one a
+    class. Earlier blocks of the open bucket are kept packed, at 40 bytes a class and its root.
     """
-    current, keys0, roots0, sig0 = None, [], np.zeros(0, object), None
+    current, keys0, roots0, sig0, part = None, [], np.zeros(0, object), None, np.zeros(0, np.int64)
     for value, keys, sig, roots in _groups(batches):
         roots = np.array(roots, object)
         if value != current:
-            current, keys0, roots0, sig0 = value, [], roots[:0], sig[:0]
+            current, keys0, roots0, sig0, part = value, [], roots[:0], sig[:0], part[:0]
+        start = len(keys0)
         keys0, roots0, sig0 = keys0 + keys, np.concatenate((roots0, roots)), np.concatenate((sig0, sig))
+        part = np.concatenate((part, np.arange(start, len(keys0))))
         if len(set(roots0.tolist())) < 2:
             continue
         pairs = []
-        for i in range(max(1, len(keys0) - len(keys)), len(keys0)):
-            other = np.flatnonzero(roots0[:i] != roots0[i])
+        for i in range(max(1, start), len(keys0)):
+            other = np.flatnonzero((roots0[:i] != roots0[i]) & (part[:i] != part[i]))
             if len(other):
                 near = other[estimate(sig0[i], sig0[other]) >= floor]
-                pairs += [(keys0[j], keys0[i]) for j in near.tolist()]
+                for j in near[np.unique(part[near], return_index=True)[1]].tolist():
+                    pairs.append((keys0[j], keys0[i]))
+                    part[part == part[j]] = part[i]
         if pairs:
             yield _pairs_batch(pairs)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose full sets reach the threshold.
+def _set_rows(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(centre, task, role, key, shingles): the set of each class for all it is wanted for.
 
-    Sets are made anew from one text of each class. Every set goes to the centre ``a``; the members
-    of a centre are dealt over as many tasks as they need, each with a copy of the centre's set.
+    ``wanted`` has a row per class: key and ``to``, an array of (centre, task, role). Sets are made
+    anew from one text of the class. Rows come dealt and sorted by centre and task, then role.
     """
-    spark = docs.sparkSession
-    members = pairs.groupBy("a").agg(F.count("*").alias("members")).withColumn("tasks", F.ceil(F.col("members") / PER_TASK).cast("int"))
-    as_member = pairs.join(members, "a").select(
-        F.col("b").alias("key"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"), F.lit(1).alias("role"))
-    as_centre = members.select(F.col("a").alias("key"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
-    wanted = as_member.union(as_centre).groupBy("key").agg(F.collect_list(F.struct("centre", "task", "role")).alias("to"))
     wanted = wanted.join(classes.select("key", "doc_id"), "key")
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("key", "to", "text")
@@ -219,7 +221,21 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["centre", "task", "role", "key", "shingles"])
 
     dealt = arrow_map(found, sets, "centre binary, task int, role int, key binary, shingles binary")
-    dealt = dealt.repartition(shuffle_parts(spark), "centre", "task").sortWithinPartitions("centre", "task", "role", "key")
+    return dealt.repartition(shuffle_parts(docs.sparkSession), "centre", "task").sortWithinPartitions("centre", "task", "role", "key")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class keys whose full sets reach the threshold.
+
+    Every set goes to the centre ``a``; the members of a centre are dealt over as many tasks as they
+    need, each with a copy of the centre's set.
+    """
+    members = pairs.groupBy("a").agg(F.count("*").alias("members")).withColumn("tasks", F.ceil(F.col("members") / PER_TASK).cast("int"))
+    as_member = pairs.join(members, "a").select(
+        F.col("b").alias("key"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"), F.lit(1).alias("role"))
+    as_centre = members.select(F.col("a").alias("key"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
+    wanted = as_member.union(as_centre).groupBy("key").agg(F.collect_list(F.struct("centre", "task", "role")).alias("to"))
+    dealt = _set_rows(wanted, classes, docs, size)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
@@ -240,6 +256,79 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
     return dealt.mapInArrow(check, "a binary, b binary").distinct()
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, by products of membership matrices."""
+    sizes = [len(x) for x in sets]
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # An element of one set only is shared by nobody.
+    renamed = np.cumsum(count > 1) - 1
+    used = count[column] > 1
+    row, column = row[used], renamed[column[used]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for a in range(0, int((count > 1).sum()), columns):
+        i, j = np.searchsorted(column, (a, a + columns))
+        member = np.zeros((len(sets), columns), np.float32)
+        member[row[i:j], column[i:j] - a] = 1
+        out += member @ member.T
+    return out
+
+
+def _joined(sets: list[np.ndarray], keys: list[bytes], block: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join what the sets' similarity joins: a spanning forest, in different blocks if there are two."""
+    size = np.array([len(x) for x in sets], np.float64)
+    common = shared_counts(sets)
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    if block.min() != block.max():
+        linked &= block[:, None] != block[None, :]
+    links, seen = [], np.zeros(len(sets), bool)
+    for k in range(len(sets)):
+        if seen[k]:
+            continue
+        seen[k], open_ = True, [k]
+        while open_:
+            i = open_.pop()
+            fresh = np.flatnonzero(linked[i] & ~seen)
+            seen[fresh] = True
+            links += [(keys[i], keys[j]) for j in fresh.tolist()]
+            open_ += fresh.tolist()
+    return links
+
+
+def join_groups(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of each group of ``members`` (node, root), enough to join all that are linked.
+
+    A group's sets meet in one task. A group of more than ``GROUP`` classes is cut into blocks, and
+    each two blocks meet in one task, so that no pair is left out and no task grows.
+    """
+    count = members.groupBy("root").agg(F.count("*").alias("n"))
+    blocks = members.join(count, "root").withColumn("blocks", F.when(F.col("n") <= GROUP, 1).otherwise(F.ceil(F.col("n") * 2 / GROUP)).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    to = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.col("root").alias("centre"), (F.least("block", j) * F.col("blocks") + F.greatest("block", j)).cast("int").alias("task"), F.col("block").alias("role")))
+    dealt = _set_rows(blocks.select(F.col("node").alias("key"), to.alias("to")), classes, docs, size)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, keys, block = None, [], [], []
+        for batch in batches:
+            for centre, task, role, key, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (centre, task):
+                    if len(sets) > 1 and (links := _joined(sets, keys, np.array(block), percent)):
+                        yield _pairs_batch(links)
+                    at, sets, keys, block = (centre, task), [], [], []
+                if not keys or keys[-1] != key:
+                    sets.append(np.frombuffer(data, np.uint64))
+                    keys.append(key)
+                    block.append(role)
+        if len(sets) > 1 and (links := _joined(sets, keys, np.array(block), percent)):
+            yield _pairs_batch(links)
+
+    return dealt.mapInArrow(link, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -281,10 +370,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     roots = connected_components(links)
     labelled = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ordered = labelled.repartition(parts, "band").sortWithinPartitions("band", "key")
-    second = ordered.mapInArrow(lambda b: _across(b, floor), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
-    second = stage(second, "pairs")
-    if not second.isEmpty():
-        more = stage(confirm(second, classes, plain, size, percent), "confirmed")
+    near = stage(ordered.mapInArrow(lambda b: _across(b, floor), "a binary, b binary").distinct(), "near")
+    if not near.isEmpty():
+        more = stage(join_groups(connected_components(near), classes, plain, size, percent), "joined")
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of_class = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))

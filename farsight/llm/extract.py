@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farsight.llm.boosting import Trees, fit_trees
-from farsight.llm.common import arrow_map, texts_of
+from farsight.llm.common import arrow_map, bounded_sample, texts_of
 from farsight.llm.dom import Page, parse
 from farsight.llm.registry import query, table
 
@@ -282,10 +282,10 @@ def extract_pages(htmls: list[str], model: Extractor) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, html_column: str = "html", max_pages: int = TRAIN_PAGES) -> bytes:
-    """A pickled model of the ``max_pages`` pages that come first by a hash of their html."""
+def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", max_pages: int = TRAIN_PAGES) -> bytes:
+    """A pickled model of a sample of ``max_pages`` pages, chosen by a hash of id and html."""
     html = F.coalesce(F.col(html_column), F.lit("")).alias("html")
-    sample = pages.select(html).withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(max_pages).select("html")
+    sample = bounded_sample(pages.select(F.col(id_column).alias("id"), html), ["id", "html"], max_pages).select("html")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         htmls = [t.decode("utf-8", "replace") for batch in batches for t in texts_of(batch, "html")]

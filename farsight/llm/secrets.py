@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farsight.llm.common import sha256_hex
+from farsight.llm.common import bounded_sample, sha256_hex
 from farsight.llm.registry import query, table
 
 # Kinds in their order, and the patterns of the base kinds (fixed values).
@@ -65,15 +65,15 @@ def base_spans(text: Column) -> list[Column]:
 # --- the models -------------------------------------------------------------------
 
 
-def labelled_samples(docs: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(random boolean, token string) from the ``sample_rows`` rows that come first by a hash of the text.
+def labelled_samples(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(random boolean, token string) from a sample of ``sample_rows`` rows, chosen by a hash of id and text.
 
     Random: digests of the texts in hex and base 64, and the values that the base patterns find.
     Ordinary: words of the texts, alone, in capitals and joined as identifiers and paths are, and
     runs of one punctuation character.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    sample = docs.select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_rows)
+    sample = bounded_sample(docs.select(F.col(id_column).alias("id"), text.alias("t")), ["id", "t"], sample_rows).select("t")
     digest = F.unhex(F.sha2("t", 512))
     found = F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_VALUE)
     secret = F.concat(F.array(F.base64(digest), F.translate(F.base64(digest), "+/", "-_"), F.sha2("t", 256)), found)
@@ -112,9 +112,9 @@ def ratio_table(counts: list[tuple[bool, str, str, int]], smoothing: float = 0.5
     return [math.log(n[True][k] / rows[True][k // size]) - math.log(n[False][k] / rows[False][k // size]) for k in range(size**2)]
 
 
-def train(docs: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[float]:
+def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[float]:
     """The ratio table of a corpus: at most two counts per pair of alphabet characters are collected."""
-    counts = pair_counts(labelled_samples(docs, text_column, sample_rows))
+    counts = pair_counts(labelled_samples(docs, id_column, text_column, sample_rows))
     return ratio_table([tuple(r) for r in counts.where(F.col("first").isin(*ALPHABET) & F.col("second").isin(*ALPHABET)).collect()])
 
 

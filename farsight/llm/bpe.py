@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -18,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farsight.llm.common import arrow_map, sha256_hex, texts_of
+from farsight.llm.common import arrow_map, sha256_hex, strings_of
 from farsight.llm.pretokens import CachedEncoder
 from farsight.llm.registry import query, table
 
@@ -137,14 +138,17 @@ def encode_documents(
     kept = [c for c in docs.columns if c not in (token_column, "n_tokens")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(shared.value, pattern)
-        ids = [bpe.encoder.packed(t.decode("utf-8", "replace")) for t in texts_of(batch, text_column)]
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, token_column, "n_tokens"])
-
-    return arrow_map(docs.select(*kept), encode, f"{schema}, `{token_column}` binary, n_tokens long")
+        for batch in batches:
+            ids = [bpe.encoder.packed(t) for t in strings_of(batch, text_column)]
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, token_column, "n_tokens"])
+        # The worker goes on to other stages, which need the room.
+        bpe.encoder.forget()
+
+    return docs.select(*kept).mapInArrow(encode, f"{schema}, `{token_column}` binary, n_tokens long")
 
 
 def decode_tokens(

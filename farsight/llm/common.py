@@ -16,7 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -64,6 +64,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def strings_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+    """A string column; null gives the empty text, bytes that are no UTF-8 the replacement character."""
+    try:
+        return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    except UnicodeDecodeError:
+        return [t.decode("utf-8", "replace") for t in texts_of(batch, name)]
+
+
 def chunks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``limit`` bytes; a longer text is alone."""
     start, size = 0, 0
@@ -83,6 +91,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
+        # Workers live on; what this task's batches took goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

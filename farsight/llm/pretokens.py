@@ -9,10 +9,10 @@ with two adjacent white-space characters is cut only around those runs.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 # Two adjacent white-space characters, or one at an end of the text.
 _RUN = re.compile(r"\s\s|^\s|\s$")
 # A piece that no lone space or line break can cut further.
@@ -45,9 +45,11 @@ class PieceCache(dict):
 class CachedEncoder:
     """Packed ids of whole texts; ``encode`` gives the ids of any piece between safe cuts."""
 
-    def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4", limit: int = 350_000) -> None:
-        self.dtype = np.dtype(dtype)
-        packed = lambda piece: np.array(encode(piece), self.dtype).tobytes()
+    def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4", limit: int = 400_000) -> None:
+        code = {"<u2": "H", "<u4": "I"}[dtype]
+        if sys.byteorder != "little":
+            raise ValueError("ids are packed on little-endian machines")
+        packed = lambda piece: array(code, encode(piece)).tobytes()
         self.first = PieceCache(packed, "", limit // 8)
         self.rest = PieceCache(packed, " ", limit)
         self.line_break = packed("\n")
@@ -81,6 +83,12 @@ class CachedEncoder:
             start = at + 1
         out.append(cache[text[start:]])
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self.first, self.rest):
+            cache.clear()
+            cache.older = {}
+
     def packed(self, text: str) -> bytes:
-        """The ids of ``text`` as consecutive integers of ``dtype``."""
+        """The ids of ``text`` as consecutive integers of ``dtype``, two or four bytes each."""
         return b"".join(self.pieces(text))

@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from farsight.llm.common import arrow_map, shuffle_parts, stage, texts_of
+from farsight.llm.common import arrow_map, shuffle_parts, stage, strings_of
 from farsight.llm.pretokens import CachedEncoder
 from farsight.llm.registry import query, table
 from farsight.session import stage_dir
@@ -49,8 +49,19 @@ def _encoder(data: bytes, dtype: str) -> CachedEncoder:
     cut = regex.compile(public_tokenizers.PATTERN).findall
     merge, written = tokenizer.model.tokenize, _byte_characters(tokenizer)
 
+    blank = written[32]
+
     def encode(piece: str) -> list[int]:
         # Latin text is cut here and merged by the library's model, which spares the steps around it.
+        # A word of ASCII letters, with its space before it and a mark after it, needs no pattern.
+        space = piece[0] == " "
+        word = piece[space:]
+        if word.isascii():
+            mark = word[-1:]
+            if word.isalpha():
+                return [t.id for t in merge(blank + word if space else word)]
+            if mark in ".,;:!?" and word[:-1].isalpha():
+                return [t.id for t in merge(blank + word[:-1] if space else word[:-1])] + [t.id for t in merge(mark)]
         if max(piece) < "\u0250":
             return [t.id for part in cut(piece) for t in merge(part.encode().decode("latin-1").translate(written))]
         return tokenizer.encode(piece, add_special_tokens=False).ids
@@ -92,7 +103,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = _encoder(shared.value, dtype)
-        ids = [encoder.packed(t.decode("utf-8", "replace")) + tail for t in texts_of(batch)]
+        ids = [encoder.packed(t) + tail for t in strings_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return arrow_map(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), run, f"doc_id {kind}, ids binary")

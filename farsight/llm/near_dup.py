@@ -207,20 +207,29 @@ def _set_rows(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int)
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("key", "to", "text")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, to = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        rows = []
-        for key, targets, data in zip(keys, to, texts_of(batch)):
-            shingles = shingle_set(data, size)
-            # Rows that repeat an id with another text are no member of the class.
-            if blake2b(shingles.tobytes(), digest_size=16).digest() == key:
-                rows += [(t["centre"], t["task"], t["role"], key, shingles.tobytes()) for t in targets]
-        if not rows:
-            return None
-        types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["centre", "task", "role", "key", "shingles"])
-
-    dealt = arrow_map(found, sets, "centre binary, task int, role int, key binary, shingles binary")
+    names, types = ["centre", "task", "role", "key", "shingles"], [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for key, targets, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch)):
+                shingles = shingle_set(data, size).tobytes()
+                # Rows that repeat an id with another text are no member of the class.
+                if blake2b(shingles, digest_size=16).digest() != key:
+                    continue
+                for t in targets:
+                    rows.append((t["centre"], t["task"], t["role"], key, shingles))
+                    held += len(shingles)
+                    if held > 4 << 20:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    dealt = found.mapInArrow(sets, "centre binary, task int, role int, key binary, shingles binary")
     return dealt.repartition(shuffle_parts(docs.sparkSession), "centre", "task").sortWithinPartitions("centre", "task", "role", "key")
 
 

@@ -34,7 +34,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return value

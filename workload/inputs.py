@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farsight.functions import verdicts as W
@@ -95,12 +99,43 @@ def group_context_blocks(t):
   SELECT group_id, sha256(string_agg(block, chr(10) ORDER BY doc_index)) AS text_sha256 FROM b GROUP BY 1""",
 )
 def group_context_whole(t):
-    """The parts of each group's block, of seven items each, joined back to the whole text."""
+    """The digest of the parts of each group's block, of seven items each, read in order as one text.
+
+    A digest reads its text from front to back, so a group is hashed by one task, but part by part: no row
+    or buffer holds more than a batch of parts.
+    """
     rows = staged(items(t), stage_dir(t.spark, "items"))
     parts = I.group_blocks(rows, ["group_id"], "doc_index", rows=7)
-    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    whole = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
-    return parts.groupBy("group_id").agg(F.sha2(whole, 256).alias("text_sha256"))
+    ordered = parts.select("group_id", "part", "text").repartition("group_id").sortWithinPartitions("group_id", "part")
+    return ordered.mapInArrow(digest_parts, "group_id string, text_sha256 string")
+
+
+def digest_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group_id, SHA-256 of its texts joined by line breaks) of rows (group_id, part, text) in that order."""
+    key = digest = None
+    started = False  # rows have been seen, as a null is a group too
+    for batch in batches:
+        done = []
+        for group, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary())):
+            if not started or group != key:
+                if started:
+                    done.append((key, digest and digest.hexdigest()))
+                started, key, digest = True, group, None
+            if not text.is_valid:
+                continue
+            if digest is None:
+                digest = hashlib.sha256()
+            else:
+                digest.update(b"\n")
+            digest.update(text.as_buffer())
+        if done:
+            yield _digest_rows(done)
+    if started:
+        yield _digest_rows([(key, digest and digest.hexdigest())])
+
+
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["group_id", "text_sha256"])
 
 
 # --- passes: a document's pass is its position in the source, one of three -----------------

@@ -10,6 +10,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements whose content is raw text that never shows.
 RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math")
 HIDDEN = frozenset((*RAW, "head", "select", "datalist", "object", "canvas"))
+# What may stand in head; text and any other start tag end it, as its end tag may be left out.
+IN_HEAD = frozenset((*RAW[:4], "title", "html", "head", "base", "link", "meta", "basefont", "bgsound", "noframes"))
+# Hidden elements that hide nothing where their end tag is missing.
+PAIRED = ("select", "datalist", "object", "canvas")
 # Elements that interrupt a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -26,6 +30,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"
 _TOKEN = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
+_PAIRS = re.compile(rf"<(/?)({'|'.join(PAIRED)})(?=[\s/>])", re.I)
+
 
 @dataclass
 class Node:
@@ -75,19 +81,33 @@ def attribute_tokens(tag_text: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _ended(html: str) -> set[int]:
+    """Places of the start tags of paired elements that have an end tag of their own."""
+    found: set[int] = set()
+    waiting: dict[str, list[int]] = {name: [] for name in PAIRED}
+    for tag in _PAIRS.finditer(html):
+        starts = waiting[tag[2].lower()]
+        if not tag[1]:
+            starts.append(tag.start())
+        elif starts:
+            found.add(starts.pop())
+    return found
+
+
 def parse(html: str) -> Page:
     """Reads any text as a page; each character is looked at a bounded number of times."""
     page = Page()
     nodes, lines = page.nodes, page.lines
-    # Open elements: (name, node for blocks or -1). ``opened`` counts names; the index stacks tell
+    # Open elements: (name, node for blocks or -1, whether it hides). ``opened`` counts names; the index stacks tell
     # whether an open <p> lies above the innermost container.
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, bool]] = []
     opened: dict[str, int] = {}
     blocks = [0]
     hidden = links = 0
     text: list[str] = []
     link_chars = 0
     unclosed: set[str] = set()
+    ended: set[int] | None = None
 
     def flush() -> None:
         nonlocal link_chars
@@ -105,21 +125,28 @@ def parse(html: str) -> Page:
 
     def close_top() -> None:
         nonlocal hidden, links
-        name, node = stack.pop()
+        name, node, hides = stack.pop()
         opened[name] -= 1
         if node >= 0:
             flush()
             blocks.pop()
-        if name in HIDDEN:
+        if hides:
             hidden -= 1
         elif name == "a":
             links -= 1
 
+    def close_head() -> None:
+        while stack[-1][0] != "head":
+            close_top()
+        close_top()
+
     at, n = 0, len(html)
     while at < n:
         less = html.find("<", at)
         if less < 0:
             less = n
+        if hidden and stack[-1][0] == "head" and html[at:less].strip():
+            close_head()
         if less > at and not hidden:
             piece = html[at:less]
             piece = unescape(piece) if "&" in piece else piece
@@ -155,6 +182,8 @@ def parse(html: str) -> Page:
             elif name in BLOCKS and not hidden:
                 flush()
             continue
+        if opened.get("head") and name not in IN_HEAD:
+            close_head()
         if name == "br":
             text.append("\n")
             continue
@@ -162,6 +191,10 @@ def parse(html: str) -> Page:
             if name == "hr":
                 flush()
             continue
+        hides = name in HIDDEN
+        if name in PAIRED:
+            ended = _ended(html) if ended is None else ended
+            hides = less in ended
         if name in BLOCKS:
             flush()
             # Inline elements left open end with their paragraph or item.
@@ -179,12 +212,12 @@ def parse(html: str) -> Page:
             node = Node(name, parent, nodes[parent].depth + 1, attribute_tokens(head) if "=" in head else ())
             nodes[parent].children.append(len(nodes))
             blocks.append(len(nodes))
-            stack.append((name, len(nodes)))
+            stack.append((name, len(nodes), hides))
             nodes.append(node)
         else:
-            stack.append((name, -1))
+            stack.append((name, -1, hides))
         opened[name] = opened.get(name, 0) + 1
-        if name in HIDDEN:
+        if hides:
             hidden += 1
         elif name == "a":
             links += 1

@@ -74,10 +74,10 @@ def _tag_end(html: str, at: int, unclosed: set[str]) -> int:
 
 
 def attribute_tokens(tag_text: str) -> tuple[str, ...]:
-    """Lower-case words of class, id, role, itemprop and label values."""
+    """All lower-case words of class, id, role, itemprop and label values."""
     found = []
     for name, a, b, c in _ATTRIBUTE.findall(tag_text):
-        found += _TOKEN.findall((a or b or c).lower())[:12]
+        found += _TOKEN.findall((a or b or c).lower())
     return tuple(found)
 
 

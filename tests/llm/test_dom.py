@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from farsight.llm.dom import parse
+from farsight.llm.dom import attribute_tokens, parse
 
 
 def lines(html):
@@ -33,3 +33,8 @@ def test_open_hidden_elements_take_linear_time(unit):
     began = time.process_time()
     parse(unit * (300_000 // len(unit)))
     assert time.process_time() - began < 15
+
+
+def test_all_words_of_an_attribute_are_tokens():
+    names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    assert attribute_tokens(f' class="{" ".join(names)} sidebar"') == (*names, "sidebar")

@@ -61,7 +61,7 @@ def _card(match: Column) -> Column:
 def mod97(match: Column) -> Column:
     """An account number's remainder: the first four characters go last, letters count from 10."""
     code = F.translate(match, " ", "")
-    moved = F.split(F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4)), "(?!^)")
+    moved = F.filter(F.split(F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4)), "(?!^)"), lambda c: c != "")
     step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
     return F.aggregate(moved, F.lit(0), step)
 

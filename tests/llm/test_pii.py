@@ -76,16 +76,16 @@ def test_added_spans_give_way_to_base_spans_that_they_overlap(llm):
     assert [(NAMES[k - 1], text[a:b]) for a, k, b, _ in spans] == [("email", "212-555-0147@mail.com"), ("local_phone", "212-555-0147"), ("phone", "+1 212-555-0147")]
 
 
-@pytest.mark.parametrize("text", [
-    " ".join(f"a{i}@b{i}.com" for i in range(64_000)), "x" * 2_000_000, "1 " * 500_000, "a." * 400_000 + "@" + "a." * 400_000 + "b", "+1 (((" * 50_000, "1." * 400_000, "ssn 123-45-6789 " * 60_000,
+@pytest.mark.parametrize("text, kind, n", [
+    (" ".join(f"a{i}@b{i}.com" for i in range(64_000)), "email", 64_000), ("x" * 2_000_000, "email", 0), ("1 " * 500_000, "card", 0),
+    ("a." * 400_000 + "@" + "a." * 400_000 + "b", "email", 1), ("+1 (((" * 50_000, "phone", 0), ("1." * 400_000, "ip", 100_000), ("ssn 123-45-6789 " * 60_000, "national_id", 60_000),
 ])
-def test_long_texts_are_read_whole_in_linear_time(llm, text):
+def test_long_texts_are_read_whole_in_linear_time(llm, text, kind, n):
     began = time.time()
     spans = found(llm, [text])[0]
     assert time.time() - began < 60
-    assert [s[:3] for s in spans if s[1] <= 4] == plain(text)
-    if text.startswith("ssn"):
-        assert len(spans) == 60_000
+    assert [NAMES[s[1] - 1] for s in spans] == [kind] * n
+    assert all(text[a - 1:a] in ("", " ", ".") and text[b:b + 1] in ("", " ", ".") for a, _, b, _ in spans)
 
 
 def test_odd_and_clashing_rows(odd, none):

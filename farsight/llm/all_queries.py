@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
 
-from farsight.llm import bpe, decontaminate, extract, merkle, near_dup, pii, quality, secrets, substring_exact, substring_fuzzy, token_files, toxicity  # noqa: F401
+from farsight.llm import bpe, decontaminate, extract, merkle, near_dup, pii, quality, secrets, spelling, substring_exact, substring_fuzzy, token_files, toxicity  # noqa: F401

@@ -65,24 +65,3 @@ def is_degradable(status: Column, bad_output: Column) -> Column:
     transient = status.isin(0, 408, 429) | (status >= 500)
     return F.when(F.coalesce(bad_output, F.lit(False)), True).when(status.isNotNull(), transient)
 
-
-# JSON types of the fields of each answer; a field may be absent or null.
-VERDICT_TYPES = {
-    **dict.fromkeys(
-        "thoughtProcess decision verdict rationale publicationDate effectiveDate appliesFrom appliesTo dateConfidence".split(),
-        "STRING",
-    ),
-    "index": "BIGINT", "items": "ARRAY<(?:OBJECT|VOID)",
-}
-AREA_TYPES = {"impactArea": "STRING", "rationale": "STRING"}
-TAG_TYPES = {"tags": "ARRAY<(?:STRING|VOID)>", "rationale": "STRING"}
-RECORD_TYPES = dict.fromkeys(
-    "titleOfUpdate summaryOfUpdate companyView levelOfAuthority statusOfChange regulator".split(), "STRING"
-)
-
-
-def mistyped(payload: Column, types: dict[str, str]) -> Column:
-    """Whether a JSON text holds a named field of another type than the given one."""
-    schema = F.schema_of_variant(F.try_parse_json(payload))
-    other = "|".join(rf"\b{name}: (?!{kind}|VOID)" for name, kind in types.items())
-    return F.coalesce(schema.rlike(other), F.lit(False))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from farsight.functions import answers as A
 from farsight.functions.dates import iso
-from farsight.functions.verdicts import AREA_TYPES, RECORD_TYPES, TAG_TYPES, mistyped
 from farsight.functions.text import distinct_ignore_case, is_blank, trim_to_null
-from farsight.schemas import IMPACT_AREA_JSON, RECORD_JSON, TAGS_JSON
 
 # Judged fields: wire name and column.
 JUDGED = [
@@ -83,26 +82,20 @@ def base_records(items: DataFrame) -> DataFrame:
 
 def parse_labels(answers: DataFrame, area_payload: str, tags_payload: str) -> DataFrame:
     """Label answers to ``impact_area_value`` and ``tag_values`` ([] when unreadable)."""
-    return (
-        answers.withColumn(
-            "impact_area_value",
-            F.when(~mistyped(F.col(area_payload), AREA_TYPES), F.from_json(area_payload, IMPACT_AREA_JSON)["impactArea"]),
-        )
-        .withColumn(
-            "tag_values",
-            F.coalesce(
-                F.when(~mistyped(F.col(tags_payload), TAG_TYPES), F.from_json(tags_payload, TAGS_JSON)["tags"]),
-                F.array().cast("array<string>"),
-            ),
-        )
-    )
+    area = A.answer(F.col(area_payload), {"impactArea": A.text, "rationale": A.text})
+    tags = A.answer(F.col(tags_payload), {"tags": A.items, "rationale": A.text})
+    read = answers.withColumns({"impact_area_value": area["impactArea"], "tag_values": tags["tags"]})
+    # A list with a value that is neither string nor null is unreadable as a whole.
+    texts = F.transform("tag_values", lambda v: F.when(~F.is_variant_null(v), v))
+    other = F.exists(texts, lambda v: v.isNotNull() & A.text(v).isNull())
+    values = F.when(~other, F.transform(texts, A.text))
+    return read.withColumn("tag_values", F.coalesce(values, F.array().cast("array<string>")))
 
 
 def parse_records(answers: DataFrame, payload: str = "payload") -> DataFrame:
     """Record answers to judged columns, trimmed or null; an unreadable answer gives no row."""
-    parsed = answers.withColumn("_r", F.from_json(payload, RECORD_JSON))
-    readable = F.col(payload).rlike(r"(?s)^\s*\{.*\}\s*$") & ~mistyped(F.col(payload), RECORD_TYPES)
-    return parsed.where(readable & F.col("_r").isNotNull()).select(
+    parsed = answers.withColumn("_r", A.answer(F.col(payload), {wire: A.text for wire, _ in JUDGED}))
+    return parsed.where(F.col("_r").isNotNull()).select(
         *[c for c in answers.columns if c != payload],
         *[trim_to_null(F.col("_r")[wire]).alias(name) for wire, name in JUDGED],
     )

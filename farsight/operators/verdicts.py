@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farsight.functions.dates import lenient_date, outside_window, window_end
 from farsight.functions.text import is_blank, percent, ratio, trim_to_null, trim_ws
 from farsight.functions.urls import stable_id
-from farsight.functions import verdicts as V
+from farsight.functions import answers as A, verdicts as V
 from farsight.operators.ordinals import first_per, ordinal
-from farsight.schemas import VERDICT_JSON
 
 PASS = ["run_id", "group_id", "pass"]
 DOC = [*PASS, "doc_index"]
@@ -38,22 +37,36 @@ def with_doc_index(docs: DataFrame, order: str = "rank", keys: list[str] = PASS,
 # --- answers to rows -------------------------------------------------------------
 
 
+# Fields of an answer and of its items.
+ANSWER_FIELDS = {"thoughtProcess": A.text, "decision": A.text, "items": A.items}
+ITEM_FIELDS = {
+    "index": A.whole,
+    **dict.fromkeys(["verdict", "rationale", "publicationDate", "effectiveDate", "appliesFrom", "appliesTo", "dateConfidence"], A.text),
+}
+
+
 def parse_verdicts(payloads: DataFrame) -> DataFrame:
     """JSON answers parsed: ``thought_process, llm_decision, items, failed``.
 
-    Malformed JSON, a missing item list or a field of another type makes the answer ``failed``.
+    Malformed JSON, a missing item list, an item that is no object or a field of another type makes the
+    answer ``failed``. Field names match in any case, a number may stand in a string, and members that are
+    not fields of the answer or its items do not matter.
     """
-    parsed = payloads.withColumn("_a", F.from_json("payload", VERDICT_JSON, {"mode": "PERMISSIVE"}))
-    failed = F.col("_a.items").isNull() | V.mistyped(F.col("payload"), V.VERDICT_TYPES)
-    return parsed.select(
-        *[c for c in payloads.columns if c != "payload"],
-        F.when(failed, V.FAILED_THOUGHT)
-        .when(is_blank(F.col("_a.thoughtProcess")), V.DEFAULT_THOUGHT)
-        .otherwise(trim_ws(F.col("_a.thoughtProcess")))
+    kept = [c for c in payloads.columns if c != "payload"]
+    parsed = payloads.select(*kept, A.answer(F.col("payload"), ANSWER_FIELDS).alias("_a"))
+    items = F.transform(F.transform("_a.items", A.members), lambda m: A.record(m, ITEM_FIELDS))
+    read = parsed.select(*kept, "_a.thoughtProcess", "_a.decision", items.alias("_i"))
+    usable = F.col("_i").isNotNull() & ~F.exists("_i", lambda i: F.coalesce(i["other_type"], F.lit(True)))
+    checked = read.withColumn("failed", ~F.coalesce(usable, F.lit(False)))
+    return checked.select(
+        *kept,
+        F.when(F.col("failed"), V.FAILED_THOUGHT)
+        .when(is_blank(F.col("thoughtProcess")), V.DEFAULT_THOUGHT)
+        .otherwise(trim_ws(F.col("thoughtProcess")))
         .alias("thought_process"),
-        F.when(failed, V.RETRY).otherwise(V.parse_decision(F.col("_a.decision"))).alias("llm_decision"),
-        F.when(~failed, F.col("_a.items")).alias("items"),
-        failed.alias("failed"),
+        F.when(F.col("failed"), V.RETRY).otherwise(V.parse_decision(F.col("decision"))).alias("llm_decision"),
+        F.when(~F.col("failed"), F.col("_i")).alias("items"),
+        "failed",
     )
 
 

@@ -19,19 +19,6 @@ DOMAIN_RULES = "list string, domain string, include_sub_pages boolean, boost_lev
 FETCHED_PAGES = "url string, status int, content_type string, content_length long, body binary"
 VERDICT_PAYLOADS = "run_id string, group_id string, pass int, payload string"
 
-# Wire form of one evaluation answer.
-VERDICT_JSON = (
-    "struct<thoughtProcess:string,decision:string,items:array<struct<"
-    "index:int,verdict:string,rationale:string,publicationDate:string,"
-    "effectiveDate:string,appliesFrom:string,appliesTo:string,dateConfidence:string>>>"
-)
-# Wire forms of the label and record answers.
-IMPACT_AREA_JSON = "struct<impactArea:string,rationale:string>"
-TAGS_JSON = "struct<tags:array<string>,rationale:string>"
-RECORD_JSON = (
-    "struct<titleOfUpdate:string,summaryOfUpdate:string,companyView:string,"
-    "levelOfAuthority:string,statusOfChange:string,regulator:string>"
-)
 # Wire form of a search answer: messages -> contents -> annotations.
 CITATIONS_JSON = (
     "array<struct<contents:array<struct<annotations:array<struct<url:string,title:string>>>>>>"

@@ -97,7 +97,8 @@ def test_steer_notes(spark):
 
 @pytest.mark.parametrize("payload", [
     '{"items":[{"index":"abc","verdict":"NOT_RELEVANT"}]}', '{"items":[{"index":1,"verdict":7}]}', '{"items":"none"}', '{"items":[3]}',
-    '{"decision":true,"items":[]}', '{"items":[{"index":2.5}]}', '{"items":[{"rationale":["x"]}]}', '{"items":[{"index":1},{"index":"1"}]}',
+    '{"decision":true,"items":[]}', '{"items":[{"index":2.5}]}', '{"items":[{"rationale":["x"]}]}', '{"items":[{"index":1},{"index":"1x"}]}',
+    '{"Items":[{"INDEX":1,"Verdict":7}]}', '{"items":[{"index":"99999999999"}]}', '{"items":[null]}', '[]', '{"items":[]', '{"items":[{"index":" 1"}]}',
 ])
 def test_a_field_of_another_type_fails_the_answer(spark, payload):
     row = V.parse_verdicts(answers(spark, payload)).head()
@@ -107,3 +108,15 @@ def test_a_field_of_another_type_fails_the_answer(spark, payload):
 def test_absent_and_null_fields_do_not_fail(spark):
     for payload in ('{"items":[{}]}', '{"items":[{"index":null,"verdict":null,"extra":7}],"thoughtProcess":null}', '{"items":[]}'):
         assert not V.parse_verdicts(answers(spark, payload)).head().failed
+
+
+@pytest.mark.parametrize("payload", [
+    '{"decision":"FINALIZE","items":[{"index":0,"verdict":"RELEVANT"}],"meta":{"index":"a","items":"x"}}',
+    '{"Decision":"FINALIZE","Items":[{"Index":0,"Verdict":"RELEVANT"}]}',
+    '{"decision":"FINALIZE","items":[{"index":"0","verdict":"RELEVANT","notes":[{"verdict":[1]}]}]}',
+    '{"DECISION":"RETRY","decision":"FINALIZE","items":[{"INDEX":5,"index":0,"verdict":"RELEVANT"}]}',
+])
+def test_unknown_members_other_case_and_numbers_in_strings_are_read(spark, payload):
+    parsed = V.parse_verdicts(answers(spark, payload))
+    assert [(r.failed, r.llm_decision) for r in parsed.collect()] == [(False, "Finalize")]
+    assert [(r.doc_index, r.verdict) for r in V.verdict_rows(parsed).collect()] == [(0, "Relevant")]

@@ -112,10 +112,13 @@ def label_json(t):
     answers = t.part.select(
         "p_partkey",
         F.when(F.col("p_size") == 9, "no json").otherwise(
-            F.to_json(F.struct(F.upper("p_type").alias("impactArea"), F.lit("why").alias("rationale")))
+            F.when(F.col("p_size") % 3 == 0, F.to_json(F.struct(F.upper("p_type").alias("ImpactArea"), F.lit("why").alias("RATIONALE"))))
+            .when(F.col("p_size") % 3 == 1, F.to_json(F.struct(F.upper("p_type").alias("impactArea"), F.struct(F.lit(1).alias("impactArea")).alias("meta"))))
+            .otherwise(F.to_json(F.struct(F.upper("p_type").alias("impactArea"), F.lit("why").alias("rationale"))))
         ).alias("area"),
         F.when(F.col("p_size") == 9, "{}").otherwise(
-            F.to_json(F.struct(F.array("p_name", F.lit("invented")).alias("tags")))
+            F.when(F.col("p_size") % 2 == 0, F.to_json(F.struct(F.array("p_name", F.lit("invented")).alias("TAGS"), F.struct(F.lit(7).alias("tags")).alias("seen"))))
+            .otherwise(F.to_json(F.struct(F.array("p_name", F.lit("invented")).alias("tags"))))
         ).alias("tag"),
     )
     parsed = R.parse_labels(answers, "area", "tag")

@@ -215,15 +215,27 @@ def order_answers(t: Tables) -> DataFrame:
     """One answer per order over two documents: its verdict twice, an index out of range.
 
     Open orders' answers are not JSON and pending ones have no item list. Of the others those of
-    every seventh order have a field of another type.
+    every seventh order have a field of another type. Good answers come in four forms: plain, with
+    unknown members that are named as fields are, with names in other case, and with numbers in strings.
     """
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
-    good = F.format_string(
-        '{"thoughtProcess":" note %d ","decision":"finalize","items":['
-        '{"index":1,"verdict":"%s","rationale":" r ","publicationDate":"%s","dateConfidence":"high"},'
-        '{"index":1,"verdict":"RELEVANT"},{"index":7,"verdict":"RELEVANT"}]}',
-        F.col("o_orderkey"), F.when(F.col("o_totalprice") > 200000, "relevant").otherwise("not relevant"), date,
-    )
+    verdict = F.when(F.col("o_totalprice") > 200000, "relevant").otherwise("not relevant")
+    forms = F.array(*[
+        F.format_string(form, F.col("o_orderkey"), verdict, date)
+        for form in (
+            '{"thoughtProcess":" note %d ","decision":"finalize","items":['
+            '{"index":1,"verdict":"%s","rationale":" r ","publicationDate":"%s","dateConfidence":"high"},'
+            '{"index":1,"verdict":"RELEVANT"},{"index":7,"verdict":"RELEVANT"}]}',
+            '{"meta":{"index":"a","items":[3],"decision":0},"thoughtProcess":" note %d ","decision":"finalize","items":['
+            '{"index":1,"verdict":"%s","rationale":" r ","publicationDate":"%s","dateConfidence":"high","source":{"verdict":[],"index":{}}},'
+            '{"index":7,"verdict":"RELEVANT","Indexes":true}]}',
+            '{"ThoughtProcess":" note %d ","Decision":"finalize","ITEMS":['
+            '{"Index":1,"VERDICT":"%s","Rationale":" r ","publicationdate":"%s","DateConfidence":"high"},{"INDEX":1,"verdict":"RELEVANT"}]}',
+            '{"thoughtProcess":" note %d ","decision":"finalize","items":['
+            '{"index":"1","verdict":"%s","rationale":" r ","publicationDate":"%s","dateConfidence":"high"},{"index":"-7","verdict":"RELEVANT"}]}',
+        )
+    ])
+    good = F.get(forms, F.pmod("o_orderkey", F.lit(4)).cast("int"))
     status = F.col("o_orderstatus")
     mistyped = F.array(*[F.lit(x) for x in (
         '{"items":[{"index":"abc","verdict":"NOT_RELEVANT"}]}', '{"items":[{"index":1,"verdict":7}]}', '{"items":{"index":1}}',

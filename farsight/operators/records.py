@@ -83,13 +83,11 @@ def base_records(items: DataFrame) -> DataFrame:
 def parse_labels(answers: DataFrame, area_payload: str, tags_payload: str) -> DataFrame:
     """Label answers to ``impact_area_value`` and ``tag_values`` ([] when unreadable)."""
     area = A.answer(F.col(area_payload), {"impactArea": A.text, "rationale": A.text})
-    tags = A.answer(F.col(tags_payload), {"tags": A.items, "rationale": A.text})
-    read = answers.withColumns({"impact_area_value": area["impactArea"], "tag_values": tags["tags"]})
-    # A list with a value that is neither string nor null is unreadable as a whole.
-    texts = F.transform("tag_values", lambda v: F.when(~F.is_variant_null(v), v))
-    other = F.exists(texts, lambda v: v.isNotNull() & A.text(v).isNull())
-    values = F.when(~other, F.transform(texts, A.text))
-    return read.withColumn("tag_values", F.coalesce(values, F.array().cast("array<string>")))
+    tags = A.answer(F.col(tags_payload), {"tags": A.texts, "rationale": A.text})
+    return answers.withColumns({
+        "impact_area_value": area["impactArea"],
+        "tag_values": F.coalesce(tags["tags"], F.array().cast("array<string>")),
+    })
 
 
 def parse_records(answers: DataFrame, payload: str = "payload") -> DataFrame:

@@ -38,7 +38,7 @@ def with_doc_index(docs: DataFrame, order: str = "rank", keys: list[str] = PASS,
 
 
 # Fields of an answer and of its items.
-ANSWER_FIELDS = {"thoughtProcess": A.text, "decision": A.text, "items": A.items}
+ANSWER_FIELDS = {"thoughtProcess": A.text, "decision": A.text}
 ITEM_FIELDS = {
     "index": A.whole,
     **dict.fromkeys(["verdict", "rationale", "publicationDate", "effectiveDate", "appliesFrom", "appliesTo", "dateConfidence"], A.text),
@@ -50,23 +50,21 @@ def parse_verdicts(payloads: DataFrame) -> DataFrame:
 
     Malformed JSON, a missing item list, an item that is no object or a field of another type makes the
     answer ``failed``. Field names match in any case, a number may stand in a string, and members that are
-    not fields of the answer or its items do not matter.
+    not fields of the answer or its items do not matter. To be written where more than one step reads it, as
+    filters on ``items`` and ``failed`` are otherwise answered by parsing again.
     """
     kept = [c for c in payloads.columns if c != "payload"]
-    parsed = payloads.select(*kept, A.answer(F.col("payload"), ANSWER_FIELDS).alias("_a"))
-    items = F.transform(F.transform("_a.items", A.members), lambda m: A.record(m, ITEM_FIELDS))
-    read = parsed.select(*kept, "_a.thoughtProcess", "_a.decision", items.alias("_i"))
-    usable = F.col("_i").isNotNull() & ~F.exists("_i", lambda i: F.coalesce(i["other_type"], F.lit(True)))
-    checked = read.withColumn("failed", ~F.coalesce(usable, F.lit(False)))
-    return checked.select(
+    read = payloads.select(*kept, A.answer(F.col("payload"), ANSWER_FIELDS, {"items": ITEM_FIELDS}).alias("_a"))
+    failed = F.col("_a").isNull()
+    return read.select(
         *kept,
-        F.when(F.col("failed"), V.FAILED_THOUGHT)
-        .when(is_blank(F.col("thoughtProcess")), V.DEFAULT_THOUGHT)
-        .otherwise(trim_ws(F.col("thoughtProcess")))
+        F.when(failed, V.FAILED_THOUGHT)
+        .when(is_blank(F.col("_a.thoughtProcess")), V.DEFAULT_THOUGHT)
+        .otherwise(trim_ws(F.col("_a.thoughtProcess")))
         .alias("thought_process"),
-        F.when(F.col("failed"), V.RETRY).otherwise(V.parse_decision(F.col("decision"))).alias("llm_decision"),
-        F.when(~F.col("failed"), F.col("_i")).alias("items"),
-        "failed",
+        F.when(failed, V.RETRY).otherwise(V.parse_decision(F.col("_a.decision"))).alias("llm_decision"),
+        F.col("_a.items").alias("items"),
+        failed.alias("failed"),
     )
 
 

@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farsight.functions.text import fallback_query
+from farsight.functions.urls import url_host
 from farsight.functions.verdicts import (
     BORDERLINE, FINALIZE, NOT_RELEVANT, RELEVANT, RETRY, UNKNOWN, is_degradable,
 )
 from farsight.operators.verdicts import DOC, PASS
-from farsight.sources.corpus import MAX_RESULTS, search, tokens
+from farsight.session import stage_dir
+from farsight.sources.corpus import MAX_RESULTS, build_index, search_index, tokens
 
 # Fixed value: the authoritative domain.
 AUTHORITATIVE = ["gov.uk"]
@@ -164,12 +166,19 @@ def keyword_queries(active: DataFrame) -> DataFrame:
     ).withColumn("query_rationale", F.lit(FALLBACK_RATIONALE))
 
 
-def corpus_search(corpus: DataFrame, k: int = MAX_RESULTS) -> Callable[[DataFrame], DataFrame]:
-    """Default search over a table of ``url, title, cleaned_text`` pages."""
+def corpus_search(corpus: DataFrame, k: int = MAX_RESULTS, path: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Default search over a table of ``url, title, cleaned_text`` pages, through an index of all their words.
+
+    The index is written at the first search, below ``path`` if given, and serves all further ones.
+    """
+    index = None
 
     def run(queries: DataFrame) -> DataFrame:
+        nonlocal index
+        if index is None:
+            index = build_index(corpus, "url", "cleaned_text", path or stage_dir(corpus.sparkSession, "index"), near=url_host(F.col("url")))
         keys = ["run_id", "group_id", "group_ord", "pass", "query"]
-        found = search(corpus, "url", "cleaned_text", queries.select(*keys), keys, k)
+        found = search_index(index, queries.select(*keys), keys, k)
         return found.select(
             "run_id", "group_id", "group_ord", "pass", "rank", F.col("doc_id").alias("url"),
             F.lit(None).cast("string").alias("title"), F.col("query").alias("source_query"),

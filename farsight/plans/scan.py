@@ -120,7 +120,7 @@ def run_scan(
     """
     spark = requests.sparkSession
     scorer = scorer or heuristic_scorer()
-    search = search or corpus_search(corpus)
+    search = search or corpus_search(corpus, path=f"{root}/index")
     valid, rejected = split_requests(requests)
     meta = valid.drop("topic_groups")
     if not _done(spark, root, 0):

@@ -295,7 +295,8 @@ SQL_QUERY_TERMS = "(SELECT DISTINCT group_id, term FROM " + SQL_THEMES + ")"
   SELECT group_id, doc_id, matched_terms, matches, rank FROM r WHERE rank <= 10""",
 )
 def corpus_search(t):
-    return search(t.spread("documents", "doc_id", "text"), "doc_id", "text", theme_queries(t), ["group_id"]).drop("boost")
+    docs = t.spread("documents", "doc_id", "text", "lang")
+    return search(docs, "doc_id", "text", theme_queries(t), ["group_id"], near=F.col("lang")).drop("boost")
 
 
 @query(
@@ -319,7 +320,7 @@ def boosted_search(t):
     """Search over the pages the domain rules let through, boosted pages first."""
     ruled = X.apply_domain_rules(t.spread("pages", "page_id", "url", "html"), page_rules(t), "page_id")
     boost = ruled.select(F.col("page_id").alias("doc_id"), "boost")
-    return search(ruled, "page_id", "html", theme_queries(t), ["group_id"], boost=boost)
+    return search(ruled, "page_id", "html", theme_queries(t), ["group_id"], boost=boost, near=page_run())
 
 
 # --- citations: the links of a page as the annotations of one answer ---------------

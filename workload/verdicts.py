@@ -13,6 +13,7 @@ from farsight.operators import records as R
 from farsight.operators import verdicts as V
 from farsight.plans.makers import BadOutput, predictor_scorer
 from farsight.operators.ordinals import ordinal
+from farsight.session import stage_dir, staged
 from farsight.plans.makers import coverage_decisions, heuristic_verdict
 from workload.registry import Tables, query
 
@@ -246,7 +247,7 @@ def order_answers(t: Tables) -> DataFrame:
         F.when(status == "O", "not json").when(status == "P", '{"decision":"FINALIZE"}')
         .when(F.pmod("o_orderkey", F.lit(7)) == 0, bad).otherwise(good)
     )
-    return t.orders.select(
+    return t.spread("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").select(
         F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").cast("string").alias("group_id"),
         F.lit(1).alias("pass"), payload.alias("payload"),
     )
@@ -270,7 +271,7 @@ def order_pairs(t: Tables) -> DataFrame:
   FROM (SELECT *, o_orderstatus = 'F' AND o_orderkey % 7 <> 0 AS good FROM orders), range(2) r(i)""",
 )
 def verdict_json_rows(t):
-    parsed = V.parse_verdicts(order_answers(t))
+    parsed = staged(V.parse_verdicts(order_answers(t)), stage_dir(t.spark, "answers"))
     verdicts = V.first_verdicts(V.verdict_rows(parsed))
     rows = V.fill_verdicts(order_pairs(t), verdicts, parsed.where("failed").select(*V.PASS))
     return rows.select(

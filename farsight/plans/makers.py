@@ -20,9 +20,10 @@ from farsight.functions.urls import url_host
 from farsight.functions.verdicts import (
     BORDERLINE, FINALIZE, NOT_RELEVANT, RELEVANT, RETRY, UNKNOWN, is_degradable,
 )
+from farsight.operators.phrases import find_phrases
 from farsight.operators.verdicts import DOC, PASS
 from farsight.session import stage_dir
-from farsight.sources.corpus import MAX_RESULTS, build_index, search_index, tokens
+from farsight.sources.corpus import MAX_RESULTS, build_index, search_index
 
 # Fixed value: the authoritative domain.
 AUTHORITATIVE = ["gov.uk"]
@@ -190,22 +191,6 @@ def corpus_search(corpus: DataFrame, k: int = MAX_RESULTS, path: str | None = No
 def phrase_labels(items: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
     """Default label maker: vocabulary terms that occur in the text, by first occurrence.
 
-    Rows: keys, the columns of ``terms`` (``name`` and any others), at. A text is paired
-    only with the terms whose first word it holds.
+    Rows: keys, the columns of ``terms`` (``name`` and any others), at.
     """
-    columns = terms.columns
-    words = items.select(*keys, tokens(F.col(text)).alias("_words"))
-    spaced = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-    probes = words.select(
-        *keys, spaced.alias("_t"), F.array_distinct("_words").alias("_first")
-    ).select(*keys, "_t", F.explode("_first").alias("_w"))
-    phrases = terms.select(*columns, tokens(F.col("name")).alias("_p")).select(
-        *columns, F.try_element_at("_p", F.lit(1)).alias("_w"),
-        F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")).alias("_phrase"),
-    )
-    return (
-        probes.join(phrases, "_w")
-        .withColumn("at", F.position("_phrase", "_t"))
-        .where(F.col("at") > 0)
-        .select(*keys, *columns, "at")
-    )
+    return find_phrases(items, keys, text, terms)

@@ -11,6 +11,7 @@ from farsight.operators import labels as L
 from farsight.operators import records as R
 from farsight.operators import verdicts as V
 from farsight.plans.makers import phrase_labels, split_failures
+from farsight.sources.corpus import tokens
 from farsight.sources import priors as P
 from farsight.session import stage_dir
 from farsight.sources.vocabulary import (
@@ -133,16 +134,30 @@ SQL_WORDS = r"array_to_string(list_filter(string_split_regex(lower({c}), '[^\p{{
 
 @query(
     "phrase_labels",
-    f"""WITH q AS (SELECT DISTINCT item_id, ' ' || {SQL_WORDS.format(c="substr(text, 1, position('.' in text || '.') - 1)")} || ' ' AS phrase FROM benchmark),
+    f"""WITH q AS (SELECT DISTINCT item_id, ' ' || {SQL_WORDS.format(c="text")} || ' ' AS phrase FROM benchmark),
   d AS (SELECT doc_id, ' ' || {SQL_WORDS.format(c='text')} || ' ' AS words FROM documents)
   SELECT doc_id, item_id, CAST(position(phrase IN words) AS INTEGER) AS at FROM d JOIN q ON contains(words, phrase)""",
 )
 def phrase_label(t):
-    """First sentences of the benchmark passages as phrases, found in whole documents."""
-    sentence = F.substring_index("text", ".", 1)
-    terms_ = t.benchmark.select(sentence.alias("name"), "item_id")
-    found = phrase_labels(t.spread("documents", "doc_id", "text"), ["doc_id"], "text", terms_.select("name").distinct())
-    return found.join(terms_, "name").select("doc_id", "item_id", "at")
+    """Whole benchmark passages as phrases, found in whole documents."""
+    terms_ = t.benchmark.select(F.col("text").alias("name"), "item_id")
+    return phrase_labels(t.spread("documents", "doc_id", "text"), ["doc_id"], "text", terms_).select("doc_id", "item_id", "at")
+
+
+@query(
+    "phrase_sentences",
+    f"""WITH s AS (SELECT item_id, unnest(string_split(text, '.')) AS name FROM benchmark),
+  q AS (SELECT DISTINCT item_id, {SQL_WORDS.format(c="name")} AS phrase FROM s),
+  d AS (SELECT doc_id, ' ' || {SQL_WORDS.format(c='text')} || ' ' AS words FROM documents),
+  f AS (SELECT doc_id, item_id, position(' ' || phrase || ' ' IN words) AS place FROM d JOIN q ON phrase <> '' AND contains(words, ' ' || phrase || ' '))
+  SELECT doc_id, item_id, count(*) AS n, CAST(min(place) AS INTEGER) AS first_at FROM f GROUP BY 1, 2""",
+)
+def phrase_sentences(t):
+    """How many of a passage's distinct sentences, of one word and up, stand in a document, and where the first one is."""
+    names = t.benchmark.select("item_id", F.explode(F.split("text", "[.]")).alias("name"))
+    phrases = names.select("item_id", F.array_join(tokens(F.col("name")), " ").alias("name")).distinct()
+    found = phrase_labels(t.spread("documents", "doc_id", "text"), ["doc_id"], "text", phrases)
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
 # --- prior records: customers as records of their nation ---------------------------------

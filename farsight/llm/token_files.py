@@ -45,7 +45,11 @@ def _encoder(data: bytes, dtype: str) -> CachedEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(data.decode())
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    # Strings that the library cuts out of a text before anything else. None holds white space, so that
+    # they lie within the pieces that texts are cut into.
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if any(c.isspace() for token in added for c in token):
+        raise ValueError("an added token holds white space")
     cut = regex.compile(public_tokenizers.PATTERN).findall
     merge, written = tokenizer.model.tokenize, _byte_characters(tokenizer)
 
@@ -62,7 +66,7 @@ def _encoder(data: bytes, dtype: str) -> CachedEncoder:
                 return [t.id for t in merge(blank + word if space else word)]
             if mark in ".,;:!?" and word[:-1].isalpha():
                 return [t.id for t in merge(blank + word[:-1] if space else word[:-1])] + [t.id for t in merge(mark)]
-        if max(piece) < "\u0250":
+        if max(piece) < "\u0250" and not any(token in piece for token in added):
             return [t.id for part in cut(piece) for t in merge(part.encode().decode("latin-1").translate(written))]
         return tokenizer.encode(piece, add_special_tokens=False).ids
 

@@ -97,7 +97,6 @@ def test_files_hold_every_document_in_order(llm, odd, tmp_path):
     token_files.write_token_files(token_files.tokenize(odd, path, 2), str(tmp_path / "files"), kind, parts=3)
     got = token_files.read_token_files(llm, str(tmp_path / "files")).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = {}
     for row in odd.collect():
         ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [2]
@@ -127,3 +126,17 @@ def test_query_equals_the_library_on_whole_texts(llm):
         ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [2]
         assert (got[row.doc_id].start, got[row.doc_id].n_tokens, got[row.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_special_strings_are_cut_as_the_library_cuts_them(llm):
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "a", " ", "  ", "\n", "word", "é", "日", "<|", "|>", ".", "endoftext", "\t"]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(2000)]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kind = token_files.id_type(path)
+    got = {r.doc_id: list(np.frombuffer(r.ids, kind)) for r in token_files.tokenize(docs, path, 2).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+    assert got[0] == [64, 220, 50256, 275, 2]

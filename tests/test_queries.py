@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, con, name):
 ONE_ROW = {"domain_rules", "boosted_search", "review_recall", "label_input"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"full_scan"}))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if not q.startswith("full_scan")))
 def test_plans_have_no_cross_join_or_single_task_step(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from farsight.functions.html import decode_body, normalize_label
-from farsight.plans.makers import heuristic_scorer
-from farsight.plans.scan import finalize, page_corpus, run_scan, scan_results
-from farsight.session import stage_dir, staged
+from farsight.plans.makers import heuristic_scorer, predictor_scorer
+from farsight.plans.scan import DOC, GROUP, PASS, finalize, page_corpus, run_scan, scan_results
+from farsight.session import local_table, stage_dir, staged
 from farsight.sources.pages import admit, clean_html
 from farsight.sources.vocabulary import vocabulary_rows
 from workload.registry import SQL_PAGE_RUN, THEMES, Tables, page_run, query, sql_url_key
@@ -130,8 +131,11 @@ def scan_requests(t: Tables) -> DataFrame:
     )
 
 
-def sql_scan() -> str:
-    """The scan in SQL: one block of views per pass, as many as a group may take."""
+def sql_scan_views(broken: str = "false", dead: str = "false") -> str:
+    """The scan in SQL: one block of views per pass, as many as a group may take.
+
+    Groups that are ``broken`` have a failing search; the ``dead`` ones' scorer fails, which ends them.
+    """
     words = r"string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+')"
     groups = [ks for _, _, ks in THEMES] + [["qqqq", "zzzz"]]
     listed = ", ".join(f"({i}, {ks!r}, '{', '.join(ks)}')" for i, ks in enumerate(groups))
@@ -141,7 +145,7 @@ def sql_scan() -> str:
         f"grp AS (SELECT n_name AS run_id, ord, ks, name FROM nation, (VALUES {listed}) g(ord, ks, name))",
     ]
     for p in (1, 2, 3):
-        active = "grp" if p == 1 else f"(SELECT grp.* FROM grp JOIN dec{p - 1} USING (run_id, ord) WHERE final = 'Retry')"
+        active = "grp" if p == 1 else f"(SELECT grp.* FROM grp JOIN dec{p - 1} USING (run_id, ord) WHERE final = 'Retry' AND NOT ({dead}))"
         seen = " UNION ALL ".join(f"SELECT run_id, ord, key FROM raw{q}" for q in range(1, p)) or "SELECT run_id, ord, '' AS key FROM grp WHERE false"
         query_text = f"ks[({p} - 1) % len(ks) + 1] || ' ' || run_id || ' update'"
         views += [
@@ -155,15 +159,19 @@ def sql_scan() -> str:
             f"""v{p} AS (SELECT {p} AS p, k.run_id, k.ord, rank, k.url, CASE WHEN NOT list_bool_or(list_transform(ks, lambda x: contains(lower(text), x))) THEN 'NotRelevant'
               WHEN contains(lower(k.url), '.com') OR contains(lower(k.url), '.net') THEN 'Relevant' ELSE 'Borderline' END AS verdict
               FROM kept{p} k JOIN txt USING (url) JOIN grp g ON g.run_id = k.run_id AND g.ord = k.ord)""",
-            f"""dec{p} AS MATERIALIZED (SELECT run_id, ord, CASE WHEN {p} = 3 THEN 'Finalize' WHEN count(verdict) = 0 THEN 'Finalize'
+            f"""dec{p} AS MATERIALIZED (SELECT run_id, ord, CASE WHEN {p} = 3 THEN 'Finalize' WHEN count(verdict) = 0 THEN CASE WHEN {broken} THEN 'Retry' ELSE 'Finalize' END
               WHEN count(*) FILTER (verdict <> 'NotRelevant') = 0 THEN 'Retry'
               WHEN count(*) FILTER (verdict = 'Relevant') >= 0.8 * count(verdict) THEN 'Retry' ELSE 'Finalize' END AS final
               FROM act{p} LEFT JOIN v{p} USING (run_id, ord) GROUP BY 1, 2)""",
         ]
     found = " UNION ALL ".join(f"SELECT * FROM v{p}" for p in (1, 2, 3))
     passes = " UNION ALL ".join(f"SELECT run_id, ord FROM act{p}" for p in (1, 2, 3))
-    return f"""WITH {", ".join(views)}, items AS (SELECT * FROM ({found}) WHERE verdict <> 'NotRelevant'),
-  loops AS (SELECT run_id, ord, count(*) AS n FROM ({passes}) GROUP BY 1, 2)
+    return f"""WITH {", ".join(views)}, items AS (SELECT * FROM ({found}) WHERE verdict <> 'NotRelevant' AND NOT ({dead})),
+  loops AS (SELECT run_id, ord, count(*) AS n FROM ({passes}) GROUP BY 1, 2)"""
+
+
+def sql_scan() -> str:
+    return f"""{sql_scan_views()}
   SELECT run_id, CAST(ord AS INTEGER) AS group_ord, ks[1] || '-' || substr(sha256(array_to_string(list_sort(ks), chr(10))), 1, 8) AS group_id,
     name AS group_name, 'Completed' AS status, CAST(any_value(loops.n) AS INTEGER) AS loop_count, CAST(count(url) AS INTEGER) AS n_items,
     string_agg(url, ' | ' ORDER BY p, rank) AS urls
@@ -189,3 +197,136 @@ def full_scan(t):
         F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
         F.array_join(F.transform("items", lambda i: i["source_urls"][0]), " | ").alias("urls"),
     )
+
+
+# Terms of the vocabulary, and where the text of an item holds one, word by word.
+TAG_TERMS, AREA_TERMS = ["the", "Und", "DE", "of the"], ["la", "And", "der"]
+
+
+def label_vocabulary(t: Tables) -> DataFrame:
+    """The listed terms beside those of the parts, few of which occur on pages."""
+    listed = lambda terms, kind: vocabulary_rows(local_table(t.spark, [(x,) for x in terms], "name string"), kind)
+    parts = vocabulary_rows(t.part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct(), "tags")
+    return listed(TAG_TERMS, "tags").unionByName(parts).unionByName(listed(AREA_TERMS, "ImpactAreas"))
+
+
+def dated_scorer():
+    """The heuristic verdicts with dates that come from the text's length."""
+    score = heuristic_scorer([".com", ".net"])
+
+    def run(docs: DataFrame) -> DataFrame:
+        days = docs.select(*DOC, F.date_add(F.lit("2025-01-01").cast("date"), F.length("cleaned_text") % 300).alias("day"))
+        dated = score(docs).drop("publication_date", "effective_date").join(days, DOC)
+        return dated.withColumns({"publication_date": F.col("day"), "effective_date": F.date_add("day", 30)}).drop("day")
+
+    return run
+
+
+def domain_records(items: DataFrame) -> DataFrame:
+    """Record maker: judged fields from the item's site; a blank one becomes null."""
+    return items.select(
+        *GROUP, "id", F.concat(F.lit(" Page of "), "domain").alias("title_of_update"), F.col("verdict").alias("summary_of_update"),
+        F.lit("  ").alias("company_view"), F.when(F.col("verdict") == "Relevant", "High").alias("level_of_authority"),
+        F.lit("New").alias("status_of_change"), F.col("domain").alias("regulator"),
+    )
+
+
+_SQL_WORDED = r"(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ')"
+_SQL_AREA = "(SELECT arg_min(a, {{'p': position(' ' || lower(a) || ' ' IN words), 'a': a}}) FROM (VALUES {}) v(a) WHERE contains(words, ' ' || lower(a) || ' '))".format(
+    ", ".join(f"('{a}')" for a in AREA_TERMS))
+
+
+@query(
+    "full_scan_records",
+    f"""{sql_scan_views()},
+  vocab AS (SELECT name FROM (VALUES {", ".join(f"('{x}')" for x in TAG_TERMS)}) v(name)
+    UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+  body AS (SELECT i.*, {_SQL_WORDED} AS words, len(text) AS chars, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM items i JOIN txt USING (url)),
+  tags AS (SELECT run_id, ord, url, string_agg(name, '|' ORDER BY position(' ' || lower(name) || ' ' IN words), name) AS tags
+    FROM body JOIN (SELECT min(name) AS name FROM vocab GROUP BY lower(name)) ON contains(words, ' ' || lower(name) || ' ') GROUP BY ALL)
+  SELECT b.run_id, CAST(b.ord AS INTEGER) AS group_ord, CAST(p AS INTEGER) AS found_on_pass, b.url, b.run_id AS jurisdiction, {_SQL_AREA} AS impact_area, coalesce(tags, '') AS tags,
+    'Page of ' || site AS title_of_update, verdict AS summary_of_update, NULL::VARCHAR AS company_view, CASE WHEN verdict = 'Relevant' THEN 'High' END AS level_of_authority,
+    'New' AS status_of_change, strftime(DATE '2025-01-01' + (chars % 300)::INTEGER, '%Y-%m-%d') AS announcement_date,
+    strftime(DATE '2025-01-31' + (chars % 300)::INTEGER, '%Y-%m-%d') AS effective_date_of_change, b.url AS supporting_reference, site AS regulator,
+    'Read on pass ' || p AS what_it_does
+  FROM body b LEFT JOIN tags USING (run_id, ord, url)""",
+)
+def full_scan_records(t):
+    """Every column of the records of a whole scan: labels that occur in the texts, dates, judged fields and what it does."""
+    root = stage_dir(t.spark, "scan")
+    corpus = staged(page_corpus(t.spread("pages", "url", "html")), f"{root}/corpus")
+    scan = run_scan(scan_requests(t), corpus, root, scorer=dated_scorer())
+    does = F.concat(F.lit("Read on pass "), F.col("found_on_pass").cast("string"))
+    _, records = finalize(scan, label_vocabulary(t), record_maker=domain_records, what_it_does=does)
+    return records.join(scan.groups.select(*GROUP, "group_ord"), GROUP).select(
+        "run_id", "group_ord", "found_on_pass", F.element_at("source_urls", 1).alias("url"), "jurisdiction", "impact_area",
+        F.array_join("tags", "|").alias("tags"), "title_of_update", "summary_of_update", "company_view", "level_of_authority",
+        "status_of_change", "announcement_date", "effective_date_of_change", "supporting_reference", "regulator", "what_it_does",
+    )
+
+
+# --- failures inside a scan --------------------------------------------------------------------
+
+REFUSED = THEMES[1][2]  # the group whose documents the predictor refuses
+
+
+def refusing_predictor(docs: pd.DataFrame) -> pd.DataFrame:
+    """The heuristic verdicts; documents of one group raise, which nothing expects."""
+    if (docs["group_name"] == ", ".join(REFUSED)).any():
+        raise ValueError("refused")
+    texts, sites = docs["cleaned_text"].fillna("").str.lower(), docs["url"].str.lower().str.contains(r"\.com|\.net")
+    mentions = [any(k.lower() in text for k in keywords) for text, keywords in zip(texts, docs["keywords"])]
+    return pd.DataFrame({
+        "verdict": ["NotRelevant" if not m else "Relevant" if s else "Borderline" for m, s in zip(mentions, sites)],
+        "date_confidence": ["Unknown"] * len(docs),
+    })
+
+
+def failing_searches(queries: DataFrame) -> DataFrame:
+    """The search of the words that occur nowhere times out in some runs."""
+    return queries.where((F.col("group_ord") == 3) & F.col("run_id").rlike("^[A-M]")).select(*PASS, F.lit("timeout").alias("reason"))
+
+
+def failing_records(items: DataFrame) -> DataFrame:
+    """Record answers; those of one group in some runs have a status that does not fall back, others one that does."""
+    status = F.when((F.col("group_name") == ", ".join(THEMES[2][2])) & F.col("run_id").rlike("^[A-E]"), 400).when(F.col("run_id").rlike("^[R-Z]"), 503)
+    return domain_records(items).join(items.select(*GROUP, "id", status.alias("error_status")), [*GROUP, "id"])
+
+
+def invented_areas(items: DataFrame) -> DataFrame:
+    """Area maker: a listed term in another spelling, or one off the vocabulary."""
+    return items.select(*GROUP, "id", F.when(F.col("verdict") == "Relevant", "  aND ").otherwise("Invented").alias("impact_area_value"))
+
+
+def invented_tags(items: DataFrame) -> DataFrame:
+    """Tag maker: repeats, other spellings and answers off the vocabulary."""
+    return items.select(*GROUP, "id", F.array(F.lit(" OF THE"), F.lit("made up"), F.lit("of the"), F.lit("und")).alias("tag_values"))
+
+
+@query(
+    "full_scan_failures",
+    f"""{sql_scan_views("ord = 3 AND regexp_matches(run_id, '^[A-M]')", "ord = 1")},
+  faulted AS (SELECT run_id, ord, ord = 1 OR ord = 2 AND regexp_matches(run_id, '^[A-E]') AND count(url) > 0 AS f FROM grp LEFT JOIN items USING (run_id, ord) GROUP BY 1, 2),
+  kept AS (SELECT items.* FROM items JOIN faulted USING (run_id, ord) WHERE NOT f)
+  SELECT run_id, CAST(ord AS INTEGER) AS group_ord,
+    CASE WHEN any_value(f) OR ord = 3 AND regexp_matches(run_id, '^[A-M]') AND count(url) = 0 THEN 'Failed' ELSE 'Completed' END AS status,
+    CAST(any_value(loops.n) AS INTEGER) AS loop_count, CAST(count(url) AS INTEGER) AS n_items,
+    CAST(count(*) FILTER (verdict = 'Relevant') AS INTEGER) AS n_and, CAST(count(*) FILTER (NOT regexp_matches(run_id, '^[R-Z]') AND url IS NOT NULL) AS INTEGER) AS n_judged,
+    CASE WHEN count(url) > 0 THEN 'of the|Und' END AS tags
+  FROM grp JOIN loops USING (run_id, ord) JOIN faulted USING (run_id, ord) LEFT JOIN kept USING (run_id, ord) GROUP BY run_id, ord""",
+)
+def full_scan_failures(t):
+    """A scan with a refusing predictor, failing searches and failing record answers: each fails its own groups only.
+
+    Labels come from makers, whose answers off the vocabulary are dropped.
+    """
+    root = stage_dir(t.spark, "scan")
+    corpus = staged(page_corpus(t.spread("pages", "url", "html")), f"{root}/corpus")
+    scan = run_scan(scan_requests(t), corpus, root, scorer=predictor_scorer(refusing_predictor), search_failures=failing_searches)
+    results, records = finalize(
+        scan, label_vocabulary(t), record_maker=failing_records, area_maker=invented_areas, tag_maker=invented_tags)
+    counts = records.groupBy(*GROUP).agg(
+        F.count("*").cast("int").alias("n_items"), F.count_if(F.col("impact_area") == "And").cast("int").alias("n_and"),
+        F.count("title_of_update").cast("int").alias("n_judged"), F.max(F.array_join("tags", "|")).alias("tags"))
+    return results.join(counts, GROUP, "left").fillna(0, ["n_items", "n_and", "n_judged"]).select(
+        "run_id", "group_ord", "status", "loop_count", "n_items", "n_and", "n_judged", "tags")

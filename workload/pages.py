@@ -284,12 +284,12 @@ def refusing_predictor(docs: pd.DataFrame) -> pd.DataFrame:
 
 def failing_searches(queries: DataFrame) -> DataFrame:
     """The search of the words that occur nowhere times out in some runs."""
-    return queries.where((F.col("group_ord") == 3) & F.col("run_id").rlike("^[A-M]")).select(*PASS, F.lit("timeout").alias("reason"))
+    return queries.where((F.col("group_ord") == 3) & F.col("run_id").rlike("[0-4]$")).select(*PASS, F.lit("timeout").alias("reason"))
 
 
 def failing_records(items: DataFrame) -> DataFrame:
     """Record answers; those of one group in some runs have a status that does not fall back, others one that does."""
-    status = F.when((F.col("group_name") == ", ".join(THEMES[2][2])) & F.col("run_id").rlike("^[A-E]"), 400).when(F.col("run_id").rlike("^[R-Z]"), 503)
+    status = F.when((F.col("group_name") == ", ".join(THEMES[2][2])) & F.col("run_id").rlike("[0-2]$"), 400).when(F.col("run_id").rlike("[7-9]$"), 503)
     return domain_records(items).join(items.select(*GROUP, "id", status.alias("error_status")), [*GROUP, "id"])
 
 
@@ -305,13 +305,13 @@ def invented_tags(items: DataFrame) -> DataFrame:
 
 @query(
     "full_scan_failures",
-    f"""{sql_scan_views("ord = 3 AND regexp_matches(run_id, '^[A-M]')", "ord = 1")},
-  faulted AS (SELECT run_id, ord, ord = 1 OR ord = 2 AND regexp_matches(run_id, '^[A-E]') AND count(url) > 0 AS f FROM grp LEFT JOIN items USING (run_id, ord) GROUP BY 1, 2),
+    f"""{sql_scan_views("ord = 3 AND regexp_matches(run_id, '[0-4]$')", "ord = 1")},
+  faulted AS (SELECT run_id, ord, ord = 1 OR ord = 2 AND regexp_matches(run_id, '[0-2]$') AND count(url) > 0 AS f FROM grp LEFT JOIN items USING (run_id, ord) GROUP BY 1, 2),
   kept AS (SELECT items.* FROM items JOIN faulted USING (run_id, ord) WHERE NOT f)
   SELECT run_id, CAST(ord AS INTEGER) AS group_ord,
-    CASE WHEN any_value(f) OR ord = 3 AND regexp_matches(run_id, '^[A-M]') AND count(url) = 0 THEN 'Failed' ELSE 'Completed' END AS status,
+    CASE WHEN any_value(f) OR ord = 3 AND regexp_matches(run_id, '[0-4]$') AND count(url) = 0 THEN 'Failed' ELSE 'Completed' END AS status,
     CAST(any_value(loops.n) AS INTEGER) AS loop_count, CAST(count(url) AS INTEGER) AS n_items,
-    CAST(count(*) FILTER (verdict = 'Relevant') AS INTEGER) AS n_and, CAST(count(*) FILTER (NOT regexp_matches(run_id, '^[R-Z]') AND url IS NOT NULL) AS INTEGER) AS n_judged,
+    CAST(count(*) FILTER (verdict = 'Relevant') AS INTEGER) AS n_and, CAST(count(*) FILTER (NOT regexp_matches(run_id, '[7-9]$') AND url IS NOT NULL) AS INTEGER) AS n_judged,
     CASE WHEN count(url) > 0 THEN 'of the|Und' END AS tags
   FROM grp JOIN loops USING (run_id, ord) JOIN faulted USING (run_id, ord) LEFT JOIN kept USING (run_id, ord) GROUP BY run_id, ord""",
 )

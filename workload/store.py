@@ -10,7 +10,7 @@ from farsight.operators import learnings as L
 from farsight.schemas import DOCUMENT_STORE
 from farsight.session import stage_dir
 from farsight.sources import store as S
-from farsight.streaming import streams as T
+from farsight.streaming import stateful, streams as T
 from workload.registry import (
     ORACLES, SQL_PAGE_RUN, Tables, page_run, query, sql_host, sql_norm_host, sql_url_key,
 )
@@ -345,3 +345,61 @@ def dedupe_batch_form(t):
 def route_windows_batch_form(t):
     routed = order_items(t).join(t.orders.select("o_orderkey", F.col("o_orderdate").alias("ts")), "o_orderkey")
     return T.route_windows(routed).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+# --- streams with state ------------------------------------------------------------------------
+
+
+@query(
+    "rolling_call_failures",
+    """SELECT event_id, calls, failures, calls >= 2 AND failures >= 0.5 * calls AS open FROM (
+    SELECT event_id, count(*) OVER w AS calls, count(*) FILTER (event_type = 'error') OVER w AS failures FROM events
+    WINDOW w AS (PARTITION BY user_id % 8 ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND CURRENT ROW))""",
+)
+def rolling_call_failures(t):
+    """For every call the ten minutes before it, by the user's shard."""
+    calls = t.events.select("event_id", "ts", F.pmod("user_id", F.lit(8)).alias("shard"), (F.col("event_type") == "error").alias("failed"))
+    return stateful.rolling_failures(calls, ["shard"], seconds=600, min_calls=2).select("event_id", "calls", "failures", "open")
+
+
+def event_hits(t: Tables) -> DataFrame:
+    """Events as hits whose order of arrival is not that of their passes and ranks."""
+    url = F.concat(F.lit("https://www.Example.org/U"), F.col("user_id").cast("string"), F.lit("/?utm_id="), F.col("event_id").cast("string"))
+    of = lambda n: F.pmod(F.xxhash64("event_id"), F.lit(n)).cast("int")
+    group = F.pmod("event_id", F.lit(5)).cast("int")
+    return t.events.select(
+        F.col("event_type").alias("run_id"), F.concat(F.lit("g"), group.cast("string")).alias("group_id"), group.alias("group_ord"),
+        (F.pmod("event_id", F.lit(3)) + 1).cast("int").alias("pass"), (F.col("event_id") % 7).cast("int").alias("rank"), url.alias("url"))
+
+
+_SQL_FIRST = """SELECT run_id, url_key, pass, group_ord, rank, url FROM (
+    SELECT event_type AS run_id, 'example.org/u' || user_id AS url_key, CAST(event_id % 3 + 1 AS INTEGER) AS pass, CAST(event_id % 5 AS INTEGER) AS group_ord,
+      CAST(event_id % 7 AS INTEGER) AS rank, 'https://www.Example.org/U' || user_id || '/?utm_id=' || event_id AS url,
+      row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id % 3, event_id % 5, event_id % 7, 'https://www.Example.org/U' || user_id || '/?utm_id=' || event_id) AS rn
+    FROM events) WHERE rn = 1"""
+FIRST_COLUMNS = ["run_id", "url_key", "pass", "group_ord", "rank", "url"]
+
+
+@query("first_hits_batch_form", _SQL_FIRST)
+def first_hits_batch_form(t):
+    return stateful.first_hits(event_hits(t)).select(*FIRST_COLUMNS)
+
+
+@query("first_hits_stream", _SQL_FIRST)
+def first_hits_stream(t):
+    """The same by a stream of eight files: corrections are appended, and each key's highest version is its first hit."""
+    root, spark = stage_dir(t.spark, "first-hits"), t.spark
+    hits = event_hits(t)
+    hits.repartition(8).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stateful.first_hits(stream).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    versions = spark.read.parquet(f"{root}/out")
+    best = F.max_by(F.struct(*[c for c in FIRST_COLUMNS if c not in ("run_id", "url_key")]), "version").alias("b")
+    return versions.groupBy("run_id", "url_key").agg(best).select("run_id", "url_key", "b.*")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farsight.llm.common import stage, strings_of
+from farsight.llm.common import shuffle_parts, stage, strings_of
 from farsight.llm.registry import query, table
 
 # Least code points and occurrences of a word, and how much more frequent its form is.
@@ -258,7 +258,8 @@ def near_pairs(words: DataFrame, segment: int = SEGMENT, limit: int = ROUND) ->
                             yield pa.record_batch({"word": [texts[p] for p in at], "n": counts[at], "other": [edit for _, edit in hits]})
 
         reach = sorted({c for cls, _ in classes for c in (cls, cls + 1)} - {LONGEST + 1})
-        asked = words.where(F.least(F.length("word"), F.lit(LONGEST)).isin(reach)).select("word", "n")
+        # A word takes far longer to probe than to move.
+        asked = words.where(F.least(F.length("word"), F.lit(LONGEST)).isin(reach)).select("word", "n").repartition(shuffle_parts(spark), "word")
         edited = asked.mapInArrow(probe, "word string, n long, other string")
         found = edited if found is None else found.unionAll(edited)
     if found is None:

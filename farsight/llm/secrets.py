@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from farsight.llm.common import bounded_sample, sha256_hex
 from farsight.llm.registry import query, table
+from farsight.llm.spans import ends, free_of, matched, pieces, running
 
 # Kinds in their order, and the patterns of the base kinds (fixed values).
 KINDS = ("assign", "access", "hex", "markov")
@@ -27,46 +28,30 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_TOKEN = 20
 # A token is a secret if random strings explain it better by more than this many nats.
 MIN_RATIO = 12.0
-# Labelled rows that the models are counted on.
-SAMPLE_ROWS = 2000
+# Labelled rows that the models are counted on, and words of each that stand for the ordinary class.
+SAMPLE_ROWS, SAMPLE_WORDS = 2000, 100
 
 
-def _spans(text: Column, pattern: str, kind: int, keep, keep_on: Column | None = None) -> Column:
-    """Spans (start, kind, end) of the leftmost non-overlapping matches for which ``keep`` holds.
+def _kinds() -> list[tuple[str, str]]:
+    """Name and pattern of each kind. Runs are maximal, so the least lengths can stand in the pattern."""
+    patterns = (ASSIGN, ACCESS[:-1] + f"{{{MIN_ACCESS - 4},}}", HEX[:-1] + f"{{{MIN_HEX},}}", f"[{ALPHABET[:-1]}-]{{{MIN_TOKEN},}}")
+    return list(zip(KINDS, patterns, strict=True))
 
-    The text is cut at the matches: piece i ends where match i starts, so running sums of the
-    lengths are the places, in code points.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), matches.alias("match"), (matches if keep_on is None else keep_on).alias("value"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["piece"])
-        end = start + F.coalesce(F.length(part["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        found = F.coalesce(keep(part["value"]), F.lit(False))
-        return F.struct(end.alias("at"), F.when(found, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    # Most texts have no match at all; they are not cut.
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(none)
-
-
-def base_spans(text: Column) -> list[Column]:
-    """Spans of the three base kinds. Runs are maximal, so the least lengths can stand in the pattern."""
-    return [
-        _spans(text, ASSIGN, 1, lambda v: F.length(v) >= MIN_VALUE, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))),
-        _spans(text, ACCESS[:-1] + f"{{{MIN_ACCESS - 4},}}", 2, lambda v: v.isNotNull()),
-        _spans(text, HEX[:-1] + f"{{{MIN_HEX},}}", 3, lambda v: v.isNotNull()),
-    ]
+def _kept_spans(kind: int, matches: Column, parts: Column, keep: Column) -> Column:
+    """Spans (start, kind, end), in code points, of the matches for which ``keep`` (an array of booleans) holds."""
+    zipped = F.arrays_zip(matches.alias("match"), ends(parts, matches).alias("end"), keep.alias("keep"))
+    span = lambda z: F.struct((z["end"] - F.length(z["match"])).alias("start"), F.lit(kind).alias("kind"), z["end"].alias("end"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(matches) > 0, F.transform(F.filter(zipped, lambda z: z["keep"]), span)).otherwise(none)
 
 
 # --- the models -------------------------------------------------------------------
 
 
-def labelled_samples(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(random boolean, token string) from a sample of ``sample_rows`` rows, chosen by a hash of id and text.
+def labelled_samples(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS
+) -> DataFrame:
+    """(random boolean, token string) from a sample of ``sample_rows`` rows, chosen by a hash of id and text, and ``sample_words`` words of each.
 
     Random: digests of the texts in hex and base 64, and the values that the base patterns find.
     Ordinary: words of the texts, alone, in capitals and joined as identifiers and paths are, and
@@ -77,7 +62,7 @@ def labelled_samples(docs: DataFrame, id_column: str = "doc_id", text_column: st
     digest = F.unhex(F.sha2("t", 512))
     found = F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_VALUE)
     secret = F.concat(F.array(F.base64(digest), F.translate(F.base64(digest), "+/", "-_"), F.sha2("t", 256)), found)
-    words = F.slice(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, 100)
+    words = F.slice(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, sample_words)
 
     def joined(sep: str, change=lambda w: w) -> Column:
         return F.array_join(F.transform(words, change), sep)
@@ -138,15 +123,27 @@ def scan_secrets(
 
     Both are arrays of (start, kind, end), sorted, in code points with the end exclusive; kind is
     the place in ``KINDS``, counted from 1. ``spans`` holds the base spans and the tokens that the
-    models add; a token that overlaps a base span adds nothing. Null and empty texts have none.
+    models add; a token that overlaps a base span adds nothing. Null and empty texts have none. The
+    work on a text grows with its length and n log n of its n matches.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
     base, every = names
     kept = [c for c in docs.columns if c not in names]
-    tokens = _spans(text, f"[{ALPHABET[:-1]}-]{{{MIN_TOKEN},}}", 4, lambda t: log_ratio(t, ratios) > min_ratio)
-    found = docs.select(*kept, F.concat(*base_spans(text)).alias(base), tokens.alias(every))
-    apart = F.filter(every, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select(*kept, F.array_sort(base).alias(base), F.array_sort(F.concat(base, apart)).alias(every))
+    text = F.col("text")
+    # The row is packed, so that none of its columns clashes with a name used here.
+    packed = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    found = packed.select("*", *[matched(text, pattern).alias(f"m_{k}") for k, pattern in _kinds()])
+    cut = found.select(
+        "row", *[f"m_{k}" for k in KINDS], *[pieces(text, pattern, F.col(f"m_{k}")).alias(f"p_{k}") for k, pattern in _kinds()],
+        F.when(F.size("m_assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).alias("values"))
+    all_of = lambda k: F.transform(f"m_{k}", lambda _: F.lit(True))
+    keep = {
+        "assign": F.transform("values", lambda v: F.length(v) >= MIN_VALUE), "access": all_of("access"), "hex": all_of("hex"),
+        "markov": F.transform("m_markov", lambda t: log_ratio(t, ratios) > min_ratio),
+    }
+    spans = cut.select("row", *[_kept_spans(i, F.col(f"m_{k}"), F.col(f"p_{k}"), keep[k]).alias(k) for i, k in enumerate(KINDS, 1)])
+    both = spans.select("row", F.array_sort(F.concat(*KINDS[:3])).alias("base"), F.array_sort(F.concat(*KINDS)).alias("every"))
+    apart = F.when(F.exists("every", lambda s: s["kind"] == 4), free_of(F.col("every"), lambda s: s["kind"] < 4)).otherwise(F.col("every"))
+    return both.select(*[F.col("row")[c].alias(c) for c in kept], F.col("base").alias(base), apart.alias(every))
 
 
 def span_text(spans: Column | str) -> Column:
@@ -156,19 +153,24 @@ def span_text(spans: Column | str) -> Column:
 
 
 def mask_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text", mark: str = "[SECRET]", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """``docs`` with every found span of the text replaced by ``mark``; overlapping spans give one mark."""
+    """``docs`` with every found span of the text replaced by ``mark``; overlapping spans give one mark. A null text stays
+    null and an empty one empty."""
     # Names that no column of ``docs`` has.
-    base, every = (f"_{k}_{len(docs.columns)}_{'_'.join(docs.columns)}"[:200] for k in ("base", "spans"))
-    found = scan_secrets(docs, ratios, text_column, min_ratio, (base, every)).drop(base)
+    base, every, chars = (f"_{k}_{len(docs.columns)}_{'_'.join(docs.columns)}"[:200] for k in ("base", "spans", "chars"))
     text = F.col(text_column)
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(every, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_column, F.when(F.size(every) > 0, masked).otherwise(text)).select(*docs.columns)
+    found = scan_secrets(docs, ratios, text_column, min_ratio, (base, every)).drop(base)
+    # Cut into characters once, and only where something is masked; the pieces between spans are joined again.
+    cut = found.withColumn(chars, F.when(F.size(every) > 0, F.split(text, "")))
+    reached = running(F.transform(every, lambda s: s["end"]), F.greatest)
+    zipped = F.arrays_zip(F.col(every).alias("span"), F.concat(F.array(F.lit(0)), reached).alias("before"))
+
+    def piece(z: Column) -> Column:
+        between = F.array_join(F.slice(chars, z["before"] + 1, z["span"]["start"] - z["before"]), "")
+        return F.when(z["span"].isNull(), F.array_join(F.slice(chars, z["before"] + 1, F.size(chars)), "")).when(
+            z["span"]["start"] >= z["before"], F.concat(between, F.lit(mark))).otherwise("")
+
+    masked = F.array_join(F.transform(zipped, piece), "")
+    return cut.withColumn(text_column, F.when(F.size(every) > 0, masked).otherwise(text)).select(*docs.columns)
 
 
 @query("op10_secrets")

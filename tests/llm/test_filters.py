@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -203,3 +204,19 @@ def test_secret_query_digests(llm):
         text = ",".join(f"{secrets.KINDS[k - 1]}:{a}:{b}" for a, k, b in base)
         assert row.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in (1, 2, 3))
+
+
+@pytest.mark.parametrize("n", [64_000])
+def test_many_matches_of_one_text_are_found_in_linear_time(llm, ratios, n):
+    text = " ".join(f"token=abc{k:07d}" for k in range(n))
+    docs = llm.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert len(secrets.scan_secrets(docs, ratios).head().base_spans) == n
+    assert secrets.mask_secrets(docs, ratios).head().text == " ".join(["[SECRET]"] * n)
+    assert time.time() - began < 60
+
+
+def test_overlapping_spans_give_one_mark(llm, ratios):
+    text = "é token=" + "0f" * 14 + " ü AKIA" + "Q" * 17 + "!"
+    row = secrets.mask_secrets(llm.createDataFrame([(1, text)], "doc_id long, text string"), ratios).head()
+    assert row.text == "é [SECRET] ü [SECRET]!"

@@ -21,6 +21,7 @@ from farsight.functions.text import (
     text_budget,
     trim_ws,
 )
+from farsight.operators.numbering import numbered
 from farsight.operators.ordinals import PART_ROWS, ordinal, text_parts
 
 GROUP = ["run_id", "group_id"]
@@ -369,6 +370,27 @@ def label_input(items: DataFrame, terms: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def approved_parts(terms: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """(part, text): the approved list of a vocabulary, in the order of its names, as text parts of at most ``rows`` names.
+
+    It is written once for all items that are labelled from it; names are numbered by range partitions, so that no
+    task holds the whole list. An empty vocabulary gives no rows.
+    """
+    lines = numbered(terms.select("name").withColumn("_all", F.lit(0)), ["_all"], ["name"], "_at")
+    listed = lines.select("_all", "_at", F.concat(F.lit("- "), F.col("name")).alias("_line"))
+    return text_parts(listed, ["_all"], "_at", "_line", rows).drop("_all")
+
+
+def label_prompts(items: DataFrame, terms: DataFrame, kind: str) -> DataFrame:
+    """Label prompt of each item, to be sent after the parts of the approved list (``approved_parts``).
+
+    ``items`` carries group_name, jurisdiction and ``updates_block``; an empty vocabulary asks nothing: no rows.
+    """
+    closing = AREA_CLOSING if kind == "impact_area" else TAGS_CLOSING
+    asked = items.where(F.lit(not terms.isEmpty()))
+    return asked.withColumn("text", _context(closing)).drop("updates_block")
+
+
 def exemplar_block(exemplars: Column, jurisdiction: Column, field_chars: int = EXEMPLAR_CHARS) -> Column:
     """Prior records as numbered examples, each field clipped to ``field_chars``."""
 

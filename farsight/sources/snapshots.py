@@ -110,3 +110,17 @@ def snapshot(spark: SparkSession, path: str, session_id: str, checkpoint_id: str
     if found is None:
         raise KeyError(f"snapshot {checkpoint_id!r} not found for session {session_id!r}")
     return found[0]
+
+
+def child_snapshots(spark: SparkSession, path: str, parents: DataFrame) -> DataFrame:
+    """The snapshots whose parent is one of ``parents`` (session_id, parent_checkpoint_id)."""
+    asked = parents.select("session_id", "parent_checkpoint_id", session_bucket(F.col("session_id")).alias("bucket")).distinct()
+    return latest_snapshots(spark, path).join(asked, ["bucket", "session_id", "parent_checkpoint_id"], "left_semi").drop("bucket")
+
+
+def read_snapshots(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """``asked`` (session_id, checkpoint_id and others) with ``value_json`` and ``error``; a missing snapshot is an error of its row."""
+    texts = latest_snapshots(spark, path).select("session_id", "checkpoint_id", "value_json", F.lit(True).alias("_found"))
+    joined = asked.join(texts, ["session_id", "checkpoint_id"], "left")
+    missing = F.format_string("snapshot %s not found for session %s", "checkpoint_id", "session_id")
+    return joined.withColumn("error", F.when(F.col("_found").isNull(), missing)).drop("_found")

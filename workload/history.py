@@ -267,6 +267,41 @@ def full_text_snapshots(t):
     return back.select("doc_id", "full_text_ref", F.sha2("full_text", 256).alias("text_hash"))
 
 
+def turn_snapshots(t: Tables) -> str:
+    """Path of a written snapshot table: every turn, its parent the turn before."""
+    path = stage_dir(t.spark, "snapshots")
+    N.write_snapshots(t.conversations.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("checkpoint_id"),
+        F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent_checkpoint_id"),
+        F.col("text").alias("value_json"), F.lit(1).cast("long").alias("seq"),
+    ), path)
+    return path
+
+
+@query(
+    "snapshot_children",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS checkpoint_id, CAST(turn - 1 AS VARCHAR) AS parent_checkpoint_id, text AS value_json
+  FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user')""",
+)
+def snapshot_children(t):
+    """Children of every turn of a user; first turns have no parent."""
+    parents = t.conversations.where(F.col("role") == "user").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("parent_checkpoint_id"))
+    return N.child_snapshots(t.spark, turn_snapshots(t), parents).select("session_id", "checkpoint_id", "parent_checkpoint_id", "value_json")
+
+
+@query(
+    "snapshot_reads",
+    """SELECT CAST(c.conv_id AS VARCHAR) AS session_id, CAST(c.turn + 1 AS VARCHAR) AS checkpoint_id, n.text AS value_json,
+    CASE WHEN n.turn IS NULL THEN 'snapshot ' || (c.turn + 1) || ' not found for session ' || c.conv_id END AS error
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""",
+)
+def snapshot_reads(t):
+    """The snapshot after every turn; the one after the last is missing, which is an error of its row."""
+    asked = t.conversations.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") + 1).cast("string").alias("checkpoint_id"))
+    return N.read_snapshots(t.spark, turn_snapshots(t), asked).select("session_id", "checkpoint_id", "value_json", "error")
+
+
 @query(
     "snapshot_index",
     """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS checkpoint_id,

@@ -247,6 +247,25 @@ def label_input(t):
     return I.label_input(I.item_blocks(items(t)), terms, "impact_area").select("doc_id", "approved_list", "text")
 
 
+@query(
+    "tag_input",
+    f"""WITH {SQL_ITEMS} SELECT doc_id, concat_ws(chr(10), 'Topic group: ' || lang, 'Jurisdiction: UK', '', {_SQL_BLOCK1}, '{I.TAGS_CLOSING}') AS text FROM it""",
+)
+def tag_input(t):
+    """The tag prompt of every item; the list that goes before it is ``approved_tags``."""
+    terms = vocabulary_terms(part_vocabulary(t), "tags")
+    return I.label_prompts(I.item_blocks(items(t)), terms, "tags").select("doc_id", "text")
+
+
+@query(
+    "approved_tags",
+    f"""WITH {SQL_VOCABULARY}, n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS nth FROM terms WHERE doc_type = 'tags')
+  SELECT CAST(nth // 64 AS INTEGER) AS part, string_agg('- ' || name, chr(10) ORDER BY nth) AS text FROM n GROUP BY 1""",
+)
+def approved_tags(t):
+    return I.approved_parts(vocabulary_terms(part_vocabulary(t), "tags"), 64)
+
+
 @query(
     "record_input",
     f"""WITH {SQL_ITEMS}, {SQL_PRIORS},

@@ -59,6 +59,12 @@ def allowed(hits: DataFrame, allowlist: DataFrame) -> DataFrame:
 # --- domain rules ----------------------------------------------------------------
 
 
+# What is wrong with a rule.
+NO_DOMAIN = "each entry requires a non-empty 'domain'"
+NO_SUB_PAGES = "include_sub_pages must be set to true or false"
+BAD_BOOST = "invalid boost_level; allowed: Default, Elevated, Demoted"
+
+
 def domain_rule_issues(rules: DataFrame) -> DataFrame:
     """Rules with their ``issues`` (empty when the rule is usable)."""
     boost = F.lower(trim_ws(F.col("boost_level")))
@@ -67,14 +73,14 @@ def domain_rule_issues(rules: DataFrame) -> DataFrame:
         "issues",
         F.array_compact(
             F.array(
-                F.when(is_blank(F.col("domain")), F.lit("each entry requires a non-empty 'domain'")),
+                F.when(is_blank(F.col("domain")), F.lit(NO_DOMAIN)),
                 F.when(
                     F.col("include_sub_pages").isNull(),
-                    F.lit("include_sub_pages must be set to true or false"),
+                    F.lit(NO_SUB_PAGES),
                 ),
                 F.when(
                     has_boost & ~boost.isin(BOOST_LEVELS),
-                    F.lit("invalid boost_level; allowed: Default, Elevated, Demoted"),
+                    F.lit(BAD_BOOST),
                 ),
                 F.when(
                     has_boost & (F.col("include_sub_pages") == F.lit(False)),

@@ -54,6 +54,9 @@ NO_ATTEMPTS = "- none - this is the first pass."
 NO_QUERIES = (
     "- (none yet - this is the first pass; write a broad query for the whole theme)"
 )
+SOURCE_URL, RELEVANCE_NOTES = "  Source URL: ", "  Relevance notes: "
+EXEMPLARS_NOTE = " (house-style examples; do NOT copy their facts) ==="
+ASSIGNED_AREA, ASSIGNED_TAGS = "Impact area (assigned for this group): ", "Tags (assigned for this group): "
 EVAL_KEYWORDS_TITLE = "Keyword / synonym OR-list defining the theme:"
 QUERY_KEYWORDS_TITLE = "Keyword / synonym OR-list:"
 VETTED_TITLE = (
@@ -91,10 +94,10 @@ def update_block(index: Column, budget: Column, text: str = "full_text") -> Colu
     url = F.coalesce(F.try_element_at("source_urls", F.lit(1)), F.lit("(none)"))
     return _lines(
         F.concat(F.lit("Update "), index.cast("string"), F.lit(":")),
-        F.concat(F.lit("  Source URL: "), url),
+        F.concat(F.lit(SOURCE_URL), url),
         F.when(
             ~is_blank(F.col("eval_rationale")),
-            F.concat(F.lit("  Relevance notes: "), F.col("eval_rationale")),
+            F.concat(F.lit(RELEVANCE_NOTES), F.col("eval_rationale")),
         ),
         F.concat(
             F.lit("  Dates: "),
@@ -414,7 +417,7 @@ def exemplar_block(exemplars: Column, jurisdiction: Column, field_chars: int = E
 
     heading = F.concat(
         F.lit("=== Prior Company View records for "), jurisdiction,
-        F.lit(" (house-style examples; do NOT copy their facts) ==="),
+        F.lit(EXEMPLARS_NOTE),
     )
     listed = _lines(heading, F.array_join(F.transform(exemplars, example), "\n"))
     return F.when(F.coalesce(F.size(exemplars), F.lit(0)) == 0, F.lit(NO_EXEMPLARS)).otherwise(listed)
@@ -430,11 +433,11 @@ def record_input(items: DataFrame, field_chars: int = EXEMPLAR_CHARS) -> DataFra
         F.concat(F.lit("Jurisdiction: "), F.col("jurisdiction")),
         F.when(
             ~is_blank(F.col("impact_area")),
-            F.concat(F.lit("Impact area (assigned for this group): "), F.col("impact_area")),
+            F.concat(F.lit(ASSIGNED_AREA), F.col("impact_area")),
         ),
         F.when(
             F.size("tags") > 0,
-            F.concat(F.lit("Tags (assigned for this group): "), F.array_join("tags", ", ")),
+            F.concat(F.lit(ASSIGNED_TAGS), F.array_join("tags", ", ")),
         ),
         F.lit(""),
         F.col("updates_block"),

@@ -59,12 +59,13 @@ def test_vocabulary_seed_is_idempotent(spark, tmp_path):
 
 
 def test_labels_use_canonical_spelling(spark):
-    vocabulary = C.vocabulary_rows(spark.createDataFrame([("IR35",), (" National Insurance ",), ("ir35 ",), ("  ",), (None,)], "name string"), "tags")
-    terms = C.vocabulary_terms(vocabulary, "tags")
-    items = spark.createDataFrame([(1, ["  ir35  ", "IR35", "Something invented", "national insurance"], " IR35\n"), (2, [], "x"), (3, None, None)], "id int, v array<string>, one string")
+    names = [("Harbour Dues",), (" Tide Tables ",), ("harbour dues\t",), ("\n",), (None,)]
+    terms = C.vocabulary_terms(C.vocabulary_rows(spark.createDataFrame(names, "name string"), "tags"), "tags")
+    rows = [(1, ["TIDE tables", "no such term", " harbour dues", "Harbour Dues"], "\tHARBOUR DUES "), (2, [], "y"), (3, None, None)]
+    items = spark.createDataFrame(rows, "id int, v array<string>, one string")
     multi = {r.id: r.tags for r in L.multi_label(items, terms, ["id"], "v").collect()}
-    assert multi == {1: ["IR35", "National Insurance"], 2: [], 3: []}
-    assert {r.id: r.impact_area for r in L.single_label(items, terms, "one").collect()} == {1: "IR35", 2: None, 3: None}
+    assert multi == {1: ["Tide Tables", "Harbour Dues"], 2: [], 3: []}
+    assert {r.id: r.impact_area for r in L.single_label(items, terms, "one").collect()} == {1: "Harbour Dues", 2: None, 3: None}
     empty = terms.limit(0)
     assert {r.impact_area for r in L.single_label(items, empty, "one").collect()} == {None}
     assert {tuple(r.tags) for r in L.multi_label(items, empty, ["id"], "v").collect()} == {()}

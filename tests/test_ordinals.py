@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from farsight.operators.numbering import numbered
 from farsight.operators.ordinals import first_per, last_before, ordinal, text_parts, top_per
 
 
@@ -51,3 +52,13 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     for limited in (first_per(df, ["k"], "id"), top_per(df, ["k"], 3, "id")):
         plan = limited._jdf.queryExecution().executedPlan().toString()
         assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_positions_by_range_partitions(spark):
+    rows = [("hot" if k % 3 else None, (k * 7919) % 1000 if k % 11 else None, k) for k in range(3000)] + [("one", 5, -1)]
+    out = numbered(spark.createDataFrame(rows, "g string, o long, k long"), ["g"], ["o", "k"], start=1).collect()
+    low = lambda v: (v is not None, v or 0)
+    for g in ("hot", None, "one"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (low(r[1]), r[2]))
+        assert {r.k: r.position for r in out if r.g == g} == {r[2]: n for n, r in enumerate(mine, 1)}
+    assert numbered(spark.createDataFrame([], "g string, o long"), ["g"], ["o"]).count() == 0

@@ -31,7 +31,7 @@ def part_vocabulary(t: Tables) -> DataFrame:
         .when(size % 5 == 2, F.lit(" ")).otherwise(F.initcap(c))
     )
     areas = t.part.select(spelled(F.col("p_type")).alias("name"))
-    tags = t.part.where(F.col("p_size") < 40).select(spelled(F.col("p_name")).alias("name"))
+    tags = t.part.select(spelled(F.col("p_name")).alias("name"))
     return vocabulary_rows(areas, "ImpactAreas").unionByName(vocabulary_rows(tags, "tags"))
 
 
@@ -44,7 +44,7 @@ def _sql_spelled(c: str) -> str:
 
 SQL_VOCABULARY = f"""
   v AS (SELECT 'ImpactAreas' AS doc_type, {_sql_spelled('p_type')} AS name FROM part
-        UNION ALL SELECT 'tags', {_sql_spelled('p_name')} FROM part WHERE p_size < 40),
+        UNION ALL SELECT 'tags', {_sql_spelled('p_name')} FROM part),
   terms AS (SELECT doc_type, lower(trim(name, ' ' || chr(9))) AS key, trim(min(name), ' ' || chr(9)) AS name
             FROM v WHERE trim(name, ' ' || chr(9)) <> '' GROUP BY 1, 2)"""
 

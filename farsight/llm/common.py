@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,6 +85,15 @@ def chunks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Returns free memory to the system at the end of a task: workers live on, and what one task took is no use to
+    the next step's workers. The C library's own pool is trimmed where it can be."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` per Arrow batch; empty results are left out."""
 
@@ -91,8 +101,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
-        # Workers live on; what this task's batches took goes back.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -95,7 +95,7 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.chars = byte_characters()
         self.pattern = regex.compile(pattern)
-        self.encoder = CachedEncoder(self.encode_piece)
+        self.encoder = CachedEncoder(self.encode_piece, letters=lambda piece: self.encode_pretoken(piece.encode()))
 
     def encode_pretoken(self, data: bytes) -> list[int]:
         rank = self.rank_of.get(data)

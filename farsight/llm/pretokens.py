@@ -3,18 +3,22 @@
 The split pattern of the rank files never lets a pre-token cross a lone space or a lone line
 break that stands between two non-space characters, apart from one leading space. A text is
 therefore the sequence of its space-separated words, each encoded once and remembered; a text
-with two adjacent white-space characters is cut only around those runs.
+with other or adjacent white space is cut only around that. Latin letters followed by marks
+up to the word's end are two pre-tokens, so that a word is encoded once whatever marks follow it.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import sys
 from array import array
 from collections.abc import Callable
 
-# Two adjacent white-space characters, or one at an end of the text.
-_RUN = re.compile(r"\s\s|^\s|\s$")
+# What only a text with adjacent white space, or with other than spaces and line breaks, contains.
+_OTHER = ["  ", "\n\n", " \n", "\n ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]
+# Letters below this character are letters in every version of the character tables.
+LATIN_END = "\u0250"
 # A piece that no lone space or line break can cut further.
 _PIECE = re.compile(r"(?:(?<=\S) (?=\S))|(?:(?<=\S)\n(?=\S))")
 
@@ -23,17 +27,28 @@ class PieceCache(dict):
     """Word -> its packed ids, filled by ``encode``.
 
     When ``limit`` words are held they become the older generation, whose words come back on use.
+    ``letters`` encodes a single pre-token of Latin letters; ``marks`` holds what follows them (this
+    cache itself where it is not given).
     """
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str, limit: int) -> None:
+    def __init__(
+        self, encode: Callable[[str], bytes], letters: Callable[[str], bytes], prefix: str, limit: int, marks: PieceCache | None = None
+    ) -> None:
         super().__init__()
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.encode, self.letters, self.prefix, self.limit = encode, letters, prefix, limit
+        self.marks = self if marks is None else marks
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.encode(self.prefix + word)
+            core = word.rstrip(string.punctuation)
+            if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
+                ids = self.encode(self.prefix + word)
+            elif len(core) == len(word):
+                ids = self.letters(self.prefix + word)
+            else:
+                ids = self[core] + self.marks[word[len(core) :]]
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -43,22 +58,27 @@ class PieceCache(dict):
 
 
 class CachedEncoder:
-    """Packed ids of whole texts; ``encode`` gives the ids of any piece between safe cuts."""
+    """Packed ids of whole texts; ``encode`` gives the ids of any piece between safe cuts, ``letters``
+    those of a piece that is known to be one pre-token of Latin letters, with or without a space before."""
 
-    def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4", limit: int = 400_000) -> None:
+    def __init__(
+        self, encode: Callable[[str], list[int]], dtype: str = "<u4", limit: int = 400_000, letters: Callable[[str], list[int]] | None = None
+    ) -> None:
         code = {"<u2": "H", "<u4": "I"}[dtype]
         if sys.byteorder != "little":
             raise ValueError("ids are packed on little-endian machines")
+        letters = letters or encode
         packed = lambda piece: array(code, encode(piece)).tobytes()
-        self.first = PieceCache(packed, "", limit // 8)
-        self.rest = PieceCache(packed, " ", limit)
+        packed_letters = lambda piece: array(code, letters(piece)).tobytes()
+        self.first = PieceCache(packed, packed_letters, "", limit // 8)
+        self.rest = PieceCache(packed, packed_letters, " ", limit, self.first)
         self.line_break = packed("\n")
 
     def pieces(self, text: str) -> list[bytes]:
         out: list[bytes] = []
         if not text:
             return out
-        if _RUN.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _OTHER):
             self._careful(text, out)
             return out
         first, rest = self.first, self.rest

@@ -13,6 +13,7 @@ A file set is a folder with two Parquet tables, so any store that Spark writes w
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from farsight.llm.common import arrow_map, shuffle_parts, stage, strings_of
-from farsight.llm.pretokens import CachedEncoder
+from farsight.llm.pretokens import LATIN_END, CachedEncoder
 from farsight.llm.registry import query, table
 from farsight.session import stage_dir
 
@@ -53,24 +54,22 @@ def _encoder(data: bytes, dtype: str) -> CachedEncoder:
     cut = regex.compile(public_tokenizers.PATTERN).findall
     merge, written = tokenizer.model.tokenize, _byte_characters(tokenizer)
 
+    if any(token.rstrip(string.punctuation).isalpha() or not token.strip(string.punctuation) for token in added):
+        raise ValueError("an added token may lie in letters and the marks after them")
     blank = written[32]
 
-    def encode(piece: str) -> list[int]:
+    def letters(piece: str) -> list[int]:
         # Latin text is cut here and merged by the library's model, which spares the steps around it.
-        # A word of ASCII letters, with its space before it and a mark after it, needs no pattern.
-        space = piece[0] == " "
-        word = piece[space:]
-        if word.isascii():
-            mark = word[-1:]
-            if word.isalpha():
-                return [t.id for t in merge(blank + word if space else word)]
-            if mark in ".,;:!?" and word[:-1].isalpha():
-                return [t.id for t in merge(blank + word[:-1] if space else word[:-1])] + [t.id for t in merge(mark)]
-        if max(piece) < "\u0250" and not any(token in piece for token in added):
+        if piece.isascii():
+            return [t.id for t in merge(blank + piece[1:] if piece[0] == " " else piece)]
+        return [t.id for t in merge(piece.encode().decode("latin-1").translate(written))]
+
+    def encode(piece: str) -> list[int]:
+        if max(piece) < LATIN_END and not any(token in piece for token in added):
             return [t.id for part in cut(piece) for t in merge(part.encode().decode("latin-1").translate(written))]
         return tokenizer.encode(piece, add_special_tokens=False).ids
 
-    return CachedEncoder(encode, dtype)
+    return CachedEncoder(encode, dtype, letters=letters)
 
 
 def _byte_characters(tokenizer) -> dict[int, str]:

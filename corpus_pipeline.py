@@ -45,7 +45,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents, and whether they decode to the text: doc_id, n_tokens, token_ids, exact."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode_documents(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranks)
-    decoded = decode_tokens(encoded, ranks)
+    # Written in between, so that a task needs one Python worker at a time, not two.
+    decoded = decode_tokens(stage(encoded, "pipeline-encoded"), ranks)
     return decoded.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == F.col("text").cast("binary")).alias("exact"))
 
 

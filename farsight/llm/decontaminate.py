@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farsight.llm.common import arrow_map, chunks, sha256_hex, spans_of, texts_of
+from farsight.llm.common import arrow_map, chunks, sha256_hex, spans_of, stage, texts_of
 from farsight.llm.registry import query, table
 
 WINDOW = 10
-# Test items are broadcast in blocks of at most this many bytes of text, one scan per block.
-BLOCK_BYTES = 32 << 20
+# Test items are broadcast in blocks of at most this many bytes of text, one scan per block. A block has at
+# most one window per two bytes; a window takes 20 bytes of numbers, a distinct word about 150.
+BLOCK_BYTES = 2 << 20
 
 # Letters and digits stay (capitals made small), bytes beyond ASCII stay, all else is a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,40 +49,56 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """The distinct windows of one length: sorted hashes, word ids, and the items that hold them."""
+    """The distinct windows of one length: sorted hashes, first words in the set's text, and the items that hold them."""
 
     size: int
     hashes: np.ndarray
-    ids: np.ndarray
-    items: list[tuple]
+    starts: np.ndarray
+    item_bounds: np.ndarray
+    items: np.ndarray
     mask: np.ndarray
 
+    def items_of(self, row: int) -> list[int]:
+        return self.items[self.item_bounds[row] : self.item_bounds[row + 1]].tolist()
+
 
 class TestSet:
-    """Vocabulary and windows of a block of test items."""
+    """Vocabulary and windows of a block of test items, whose words lie one after another in ``text``."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
+        number = self.vocabulary.setdefault
+        self.names = [item for item, _ in items]
+        runs = []
+        for _, text in items:
             words = words_of((text or "").encode())
-            if not words:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
-                found.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.windows = []
-        for size, by in sorted(found.items()):
-            ids = np.array(list(by), np.int64).reshape(len(by), size)
-            hashes = window_hashes(ids.ravel(), size)[::size] if size > 1 else window_hashes(ids.ravel(), 1)
-            order = np.argsort(hashes, kind="stable")
-            mask = np.zeros(1 << 20, bool)
-            mask[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            names = [tuple(by[tuple(ids[k].tolist())]) for k in order]
-            self.windows.append(Windows(size, hashes[order], ids[order], names, mask))
+            runs.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+        self.text = np.concatenate([*runs, np.zeros(0, np.int32)])
+        lengths = np.array([len(r) for r in runs], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        sizes = np.minimum(lengths, window)
+        self.windows = [self._windows(int(size), np.flatnonzero(sizes == size), begins, lengths) for size in np.unique(sizes[sizes > 0])]
+
+    def _windows(self, size: int, of: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> Windows:
+        count = lengths[of] - size + 1
+        item = np.repeat(of, count)
+        start = np.repeat(begins[of] - (np.cumsum(count) - count), count) + np.arange(len(item))
+        hashes = window_hashes(self.text, size)[start]
+        order = np.lexsort((item, hashes))
+        item, start, hashes = item[order], start[order], hashes[order]
+        # Equal windows follow each other, by item; windows of one hash that differ stay apart.
+        same = hashes[1:] == hashes[:-1]
+        for k in range(size):
+            same &= self.text[start[1:] + k] == self.text[start[:-1] + k]
+        fresh = np.concatenate(([True], ~same))
+        own = fresh | np.concatenate(([True], item[1:] != item[:-1]))
+        first = np.flatnonzero(fresh)
+        bounds = np.concatenate((np.cumsum(own)[first] - 1, [own.sum()]))
+        mask = np.zeros(1 << 20, bool)
+        mask[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return Windows(size, hashes[first], start[first], bounds, item[own].astype(np.int32), mask)
 
     def ids(self, words: list[bytes]) -> list[int]:
         get = self.vocabulary.get
@@ -105,13 +122,12 @@ class TestSet:
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + w.size, -1)
                 for k, d in set(zip(row.tolist(), doc.tolist())):
-                    items.setdefault(d, set()).update(w.items[k])
+                    items.setdefault(d, set()).update(w.items_of(k))
         flags = np.cumsum(hit[:-1]) > 0
         for k in range(len(texts)):
-            yield int(lengths[k]), flags[starts[k] : ends[k]], items.get(k, set())
+            yield int(lengths[k]), flags[starts[k] : ends[k]], {self.names[i] for i in items.get(k, ())}
 
-    @staticmethod
-    def _matches(ids: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _matches(self, ids: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places whose window equals a test window, with the row of that window."""
         if len(ids) < w.size:
             return
@@ -132,7 +148,7 @@ class TestSet:
                 return
             equal = np.ones(len(at), bool)
             for k in range(w.size):
-                equal &= ids[at + k] == w.ids[left, k]
+                equal &= ids[at + k] == self.text[w.starts[left] + k]
             yield at[equal], left[equal]
             left = left + 1
 
@@ -144,16 +160,33 @@ def _test_set(key: bytes, window: int) -> TestSet:
     return TestSet(pickle.loads(key), window)
 
 
-def item_blocks(items: DataFrame, id_column: str, text_column: str, limit: int) -> Iterator[list[tuple]]:
-    """The test items in blocks of at most ``limit`` text bytes (one larger item is alone)."""
+def pieces_of(words: list[bytes], limit: int, window: int) -> Iterator[list[bytes]]:
+    """Words in runs of about ``limit`` bytes that share ``window - 1`` words, so that each window lies in one of them."""
+    piece, size = [], 0
+    for word in words:
+        if size > limit and len(piece) >= window:
+            yield piece
+            piece = piece[len(piece) - window + 1 :]
+            size = sum(map(len, piece)) + len(piece)
+        piece.append(word)
+        size += len(word) + 1
+    yield piece
+
+
+def item_blocks(items: DataFrame, id_column: str, text_column: str, limit: int, window: int) -> Iterator[list[tuple]]:
+    """The test items in blocks of about ``limit`` text bytes; a larger item is dealt over several in pieces."""
     block, size = [], 0
     for item, text in items.select(id_column, text_column).toLocalIterator():
-        n = len((text or "").encode())
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += n
+        parts = [text]
+        if len(text or "") * 4 > limit:
+            parts = [b" ".join(p).decode() for p in pieces_of(words_of(text.encode()), limit, window)]
+        for part in parts:
+            n = len((part or "").encode())
+            if block and size + n > limit:
+                yield block
+                block, size = [], 0
+            block.append((item, part))
+            size += n
     yield block
 
 
@@ -167,7 +200,8 @@ def scan_documents(
     the items with a window in the text, without order. Null and empty texts have no words and
     no hits; null and empty items have no windows; an item of fewer words than ``window`` is one
     window; repeated items count by their id. Columns of the added names are replaced. A test set
-    beyond ``block_bytes`` is scanned block by block, so what is broadcast stays bounded.
+    beyond ``block_bytes`` is scanned block by block, each over the written result of the one before, so that what
+    is broadcast and what a worker holds stay bounded; an item beyond it is dealt over several blocks.
     """
     import pickle
 
@@ -175,7 +209,9 @@ def scan_documents(
     out = docs.select(*[c for c in docs.columns if c not in added])
     base = out.columns
     item_type = items.schema[item_id].dataType.simpleString()
-    for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
+    for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes, window)):
+        if k:
+            out = stage(out, "scanned")
         out = _scan_block(out, docs.sparkSession.sparkContext.broadcast(pickle.dumps(block)), window, text_column, item_type, k)
     return out.select(*base, *added)
 
@@ -233,11 +269,16 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
     item_id: str = "item_id", item_text: str = "text", text_column: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` in which no window of a test item occurs, with their columns as they are."""
+    """The rows of ``docs`` in which no window of a test item occurs, with their columns as they are.
+
+    Null and empty texts stay. Test items are taken as ``scan_documents`` takes them.
+    """
     import pickle
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for block in item_blocks(items, item_id, item_text, block_bytes):
+    for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes, window)):
+        if k:
+            docs = stage(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
 
         def clean(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:

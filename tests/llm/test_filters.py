@@ -89,6 +89,29 @@ def test_planted_passages_are_hit_word_by_word(llm):
         assert kept == {d for d, (_, n, _) in want.items() if not n}
 
 
+def test_long_items_are_dealt_over_blocks(llm):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    long = [rng.choice(words) for _ in range(3000)]
+    docs = [(k, " ".join(long[a : a + 14])) for k, a in enumerate(range(0, 2986, 7))] + [(9999, " ".join(long[40:49]))]
+    frame = llm.createDataFrame(docs, "doc_id long, text string")
+    items = llm.createDataFrame([("long", " ".join(long)), ("none", "")], "item_id string, text string")
+    got = decontaminate.scan_documents(frame, items, block_bytes=4000).withColumn("n_hit", decontaminate.n_hit()).collect()
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in got} == {d: (14, ["long"]) if d < 9999 else (0, []) for d, _ in docs}
+
+
+def test_a_block_of_windows_is_small():
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(decontaminate.BLOCK_BYTES // 6))
+    tracemalloc.start()
+    tests = decontaminate.TestSet([(k, text[a : a + 4096]) for k, a in enumerate(range(0, len(text), 4096))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and sum(len(w.hashes) for w in tests.windows) > 300_000
+
+
 def test_contamination_of_odd_rows(llm, odd, none):
     items = llm.createDataFrame([(1, "the same line of words here the same line"), (2, None), (None, "a b c")], "item_id long, text string")
     out = decontaminate.scan_documents(odd, items)

@@ -28,6 +28,14 @@ def test_ordinal_is_row_number_for_any_slice_size(spark):
     assert {r.n for r in ordinal(df, ["g"], "o", "n", start=0).where("o < 3").collect()} >= {0}
 
 
+def test_rows_are_never_broadcast_whatever_is_read_of_them(spark, tmp_path):
+    spark.range(50).select(F.col("id").cast("string").alias("g"), F.array(F.lit("x"), F.lit("y")).alias("v")).write.parquet(f"{tmp_path}/t")
+    exploded = spark.read.parquet(f"{tmp_path}/t").select("g", F.posexplode("v").alias("o", "v"))
+    for out in (ordinal(exploded, ["g"], "o", "n").select("g", "v"), last_before(exploded, ["g"], "o", "v", "w").select("g", "v")):
+        assert out.count() == 100
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_last_before_crosses_slices(spark):
     data = sorted(rows(), key=lambda r: r[1])
     want, last = {}, {}

@@ -20,7 +20,7 @@ def part_requests(t: Tables) -> DataFrame:
         " ,", F.regexp_replace("p_name", " ", ", "), F.upper("p_name"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit(" "), "p_type"
     )
     back = F.concat_ws(",", "p_type", F.upper("p_name"), F.regexp_replace("p_name", " ", ", "))
-    return t.part.select(
+    return t.spread("part", "p_partkey", "p_name", "p_brand", "p_type").select(
         F.col("p_partkey").cast("string").alias("run_id"),
         F.array(first, F.concat_ws(", ", "p_brand", F.lit("")), F.lit(" , ,"), first, back).alias("topic_groups"),
     )

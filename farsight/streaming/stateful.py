@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from farsight.functions.urls import url_key
@@ -21,35 +21,38 @@ SLICE_SECONDS = 3600
 
 # ``pass`` is a word of Python and cannot name a field there.
 FIRST = "run_id string, url_key string, nth_pass int, group_ord int, rank int, group_id string, url string, version int, final boolean"
+HIT = Row(*[f.split()[0] for f in FIRST.split(", ")])
 HIT_STATE = "nth_pass int, group_ord int, rank int, group_id string, url string, version int"
 
 
 class FirstHit(StatefulProcessor):
     """Keeps the least hit of a key by (pass, group order, rank) and gives it out again when a lesser one comes late.
 
-    A row without a URL ends its run for the key: the state goes and the last hit comes out as final.
+    A row without a URL ends its run for the key: the state goes and the last hit comes out as final. It works on
+    rows, as a key has few of them in a batch and a frame for each key costs far more than its rows.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", HIT_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.best.get()) if self.best.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.best.get()
+        known = None if kept is None else tuple(kept)
         least, ended = known, False
-        for frame in rows:
-            for row in frame[["nth_pass", "group_ord", "rank", "group_id", "url"]].itertuples(index=False, name=None):
-                if row[4] is None:
-                    ended = True
-                elif least is None or row < least[:5]:
-                    least = (*row, 0)
+        for row in rows:
+            hit = (row["nth_pass"], row["group_ord"], row["rank"], row["group_id"], row["url"])
+            if hit[4] is None:
+                ended = True
+            elif least is None or hit < least[:5]:
+                least = (*hit, 0)
         changed = least is not None and (known is None or least[:5] != known[:5])
         version = (known[5] if known else 0) + changed
-        if least is not None and (changed or ended):
-            yield pd.DataFrame([(*key, *least[:5], version, ended)], columns=[f.split()[0] for f in FIRST.split(", ")])
         if ended:
             self.best.clear()
         elif changed:
             self.best.update((*least[:5], version))
+        if least is not None and (changed or ended):
+            yield HIT(*key, *least[:5], version, ended)
 
     def close(self) -> None:
         pass
@@ -69,7 +72,7 @@ def first_hits(hits: DataFrame, run_ends: DataFrame | None = None) -> DataFrame:
     if run_ends is not None:
         blank = {c: F.lit(None).cast(keyed.schema[c].dataType) for c in ("nth_pass", "group_ord", "rank", "group_id", "url")}
         keyed = keyed.unionByName(run_ends.select("run_id", "url_key").withColumns(blank))
-    return keyed.groupBy("run_id", "url_key").transformWithStateInPandas(FirstHit(), FIRST, "Update", "None").withColumnRenamed("nth_pass", "pass")
+    return keyed.groupBy("run_id", "url_key").transformWithState(FirstHit(), FIRST, "Update", "None").withColumnRenamed("nth_pass", "pass")
 
 
 def rolling_failures(

@@ -91,3 +91,12 @@ def test_charsets(spark):
     df = spark.createDataFrame([(i, bytearray(b), k) for i, (b, k, _) in enumerate(cases)], "i int, b binary, k string")
     got = [r.t for r in df.select("i", decode_body(F.col("b"), F.col("k")).alias("t")).orderBy("i").collect()]
     assert got == [t for _, _, t in cases]
+
+
+def test_whole_tags_are_read_by_one_match_and_others_as_before():
+    from farsight.functions import html as H
+
+    assert H.WHOLE_TAG.match("<a href='x>y' b>z").group(2, 3) == ("a", " href='x>y' b")
+    tags = lambda page: [(t, a) for _, _, _, t, a in H.Markup(page)]
+    assert tags("<p><!-- <b> --><a b=\">\"><i c='>") == [("p", ""), (None, ""), ("a", ' b=">"'), ("i", " c='")]
+    assert H.leading_iso("Sun 3 Jun 2001") == "2001-06-03" and H.leading_iso(" 2020/1/2 x") == "2020-01-02" and H.leading_iso("(1 May 2020)") is None

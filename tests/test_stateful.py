@@ -66,3 +66,30 @@ def test_the_stream_of_ordered_calls_equals_the_batch_form(spark, tmp_path):
     got = drain(spark, S.rolling_failure_stream(stream, "key", min_calls=4), "rolling", "update", tmp_path)
     zero = dt.datetime(1970, 1, 1)
     assert sorted((r.key, zero + dt.timedelta(microseconds=r.us), r.calls, r.failures, r.open) for r in got) == plain(calls, 4)
+
+
+def test_a_first_hit_works_on_rows():
+    """No frame is built per key: the processor takes and gives rows."""
+    from pyspark.sql import Row
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    one = S.FirstHit()
+    one.best = Held()
+    hit = lambda n, url: Row(nth_pass=n, group_ord=0, rank=1, group_id="g", url=url)
+    asked = [[hit(2, "b"), hit(3, "a")], [hit(2, "c")], [hit(1, "d"), hit(2, "a")], [hit(9, None)]]
+    got = [[(r.nth_pass, r.url, r.version, r.final) for r in one.handleInputRows(("r", "k"), iter(rows), None)] for rows in asked]
+    assert got == [[(2, "b", 1, False)], [], [(1, "d", 2, False)], [(1, "d", 2, True)]] and one.best.value is None

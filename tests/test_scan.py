@@ -195,3 +195,19 @@ def test_search_makes_no_row_per_page_and_group_before_the_cut(spark):
     lines = plan.splitlines()
     cut = next(i for i, line in enumerate(lines) if "Window" in line)
     assert "group_id" not in "".join(line for line in lines[cut:] if "doc_id" in line)
+
+
+def test_a_failing_document_costs_few_calls(spark, tmp_path):
+    """The answers to a batch of 128 with one refused document, and how often the predictor was asked for them."""
+    def refusing(docs):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write("x")
+        if (docs["doc_index"] == 77).any():
+            raise ValueError("refused")
+        return pd.DataFrame({"verdict": ["Relevant"] * len(docs)})
+
+    docs = spark.range(0, 128, 1, 1).select(
+        F.lit("r").alias("run_id"), F.lit("g").alias("group_id"), F.lit(1).alias("pass"), F.col("id").cast("int").alias("doc_index"))
+    got = {r.doc_index: (r.verdict, r.fallback, r.error) for r in predictor_scorer(refusing)(docs).collect()}
+    assert got == {k: (None, False, "refused") if k == 77 else ("Relevant", False, None) for k in range(128)}
+    assert (tmp_path / "calls").stat().st_size <= 15

@@ -29,3 +29,17 @@ def test_no_terms_and_no_text_in_the_join(spark):
     plan = find_phrases(texts, ["id"], "t", terms)._jdf.queryExecution().optimizedPlan()
     joined = plan.toString().split("Join")[1]
     assert "_words" not in joined.split("Generate")[0]
+
+
+def test_windows_are_not_hashed_row_by_row(spark):
+    """Places and windows over texts of several batches and lots, without an array function per word."""
+    texts = [(k, " ".join(["filler"] * (k * 131 % 700)) + " alpha beta gamma delta epsilon. ÄÖ beta") for k in range(300)] + [(300, "x " * 70000 + "beta")]
+    terms = spark.createDataFrame([("Beta",), ("alpha beta gamma",), ("epsilon äö beta",), ("beta x",)], "name string")
+    found = find_phrases(spark.createDataFrame(texts, "id int, t string").coalesce(1), ["id"], "t", terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "aggregate(" not in plan
+    want = set()
+    for k, t in texts:
+        words = f" {' '.join(t.lower().replace('.', '').split())} "
+        want |= {(k, n, words.index(f" {n.lower()} ") + 1) for n in ("Beta", "alpha beta gamma", "epsilon äö beta", "beta x") if f" {n.lower()} " in words}
+    assert {(r.id, r.name, r.at) for r in found.collect()} == want

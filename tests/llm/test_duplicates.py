@@ -98,6 +98,27 @@ def test_removal_of_odd_rows(odd, none):
     assert remove_repeats(none).count() == 0
 
 
+def test_windows_of_a_wide_anchor_are_one_sorted_run_per_shard_and_bucket(llm):
+    rng = random.Random(4)
+    core = bytes(rng.choices(range(97, 123), k=32))
+    rows = []
+    for k in range(60):
+        text = bytes(rng.choices(range(97, 123), k=20)) + core + bytes(rng.choices(range(97, 123), k=20))
+        rows.append((k // 20, True, 100 - k, 7, 33, bytearray(text)))
+    segments = llm.createDataFrame(rows, "shard long, wide boolean, uid long, start long, windows int, bytes binary")
+    found = substring_exact.compare_shards(segments, 40, 4).where("kind = 2").collect()
+    assert len(found) == len({(r.shard, r.bucket) for r in found}) <= 12  # before, one row for each of 1,980 windows
+    seen = set()
+    for r in found:
+        strings = [bytes(r.strings[k : k + 40]) for k in range(0, len(r.strings), 40)]
+        uids, starts = (np.frombuffer(x, np.int64).tolist() for x in (r.uids, r.starts))
+        assert strings == sorted(strings) and len(strings) == len(uids) == len(starts)
+        for text, uid, start in zip(strings, uids, starts):
+            assert bytes(rows[100 - uid][5][start - 7 :][:40]) == text
+            seen.add((uid, start))
+    assert len(seen) == 60 * 33
+
+
 # --- fuzzy passages ---------------------------------------------------------------
 
 

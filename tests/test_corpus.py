@@ -60,3 +60,30 @@ def test_only_the_slots_of_the_terms_are_read(spark, docs):
     terms = C.query_terms(spark.createDataFrame([("w3",)], "_query string"), ["_query"], "_query")
     plan = C._of_terms(index, terms).select("term", "block", "most")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "slot" in plan.split("PartitionFilters")[1] and "docs" not in plan.split("ReadSchema")[1]
+
+
+def test_words_are_counted_where_a_block_is(spark, docs):
+    """One shuffle, of texts, and no row per word and document; a row per word and block comes out."""
+    texts = docs[1].select("doc_id", (F.col("doc_id") % 3).alias("block"), F.col("text").alias("_text"))
+    posted = C._all_postings(texts)
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    counted = texts.select("doc_id", "block", F.explode(C.tokens(F.col("_text"))).alias("term")).groupBy("block", "term", "doc_id").count()
+    found = posted.select("block", "term", "most", "n_docs", F.explode("docs").alias("d")).select("block", "term", "d.doc_id", "d.n", "most", "n_docs").collect()
+    assert sorted(r[:4] for r in found) == sorted(map(tuple, counted.collect()))
+    for r in found:
+        mine = [x.n for x in found if (x.block, x.term) == (r.block, r.term)] if r.doc_id % 100 == 0 else [r.most] * r.n_docs
+        assert (max(mine), len(mine)) == (r.most, r.n_docs)
+
+
+def test_repeated_and_null_ids_are_one_document_of_their_block(spark):
+    texts = spark.createDataFrame([(None, 7, "a b a"), (None, 7, "a"), ("x", 7, "b"), ("x", 7, None), ("x", 7, "b B"), ("y", 8, " ")], "doc_id string, block long, _text string")
+    found = {(r.block, r.term, r.most, r.n_docs): sorted((str(d.doc_id), d.n) for d in r.docs) for r in C._all_postings(texts).collect()}
+    assert found == {(7, "a", 3, 1): [("None", 3)], (7, "b", 3, 2): [("None", 1), ("x", 3)]}
+
+
+def test_long_documents_share_fewer_blocks(spark):
+    long = spark.range(40).select("id", F.repeat(F.lit("word "), 100_000).alias("text"))
+    index = C.build_index(long, "id", "text", stage_dir(spark, "index"))
+    assert index.placed.select("block").distinct().count() > 1
+    assert index.postings.agg(F.sum("n_docs")).head()[0] == 40 and index.postings.select("term", "most").distinct().collect() == [("word", 100_000)]

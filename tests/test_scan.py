@@ -184,6 +184,14 @@ def test_repeated_urls_and_rejected_requests(spark, tmp_path):
     assert [(r.run_id, len(r.issues) > 0) for r in scan.rejected.collect()] == [("bad", True)]
 
 
+def test_pages_with_their_own_url_are_not_shuffled(spark):
+    pages = spark.createDataFrame([(f"https://a.gov.uk/{k // 2 if k < 4 else k}", f"<p>{k}") for k in range(20)], "url string, html string")
+    corpus = page_corpus(pages)
+    plan = corpus._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert sorted(r.cleaned_text for r in corpus.collect()) == sorted(str(k) for k in range(20) if k not in (1, 3))
+
+
 def test_search_makes_no_row_per_page_and_group_before_the_cut(spark):
     from farsight.sources.corpus import search
 
